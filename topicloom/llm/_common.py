@@ -44,3 +44,19 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 2
 def levels(n: int) -> int:
     """Halvings after which ``n`` items are one."""
     return max(0, math.ceil(math.log2(n))) if n > 1 else 0
+
+
+def text_slices(batch, text_col: str, limit: int = 4 << 20):
+    """``batch`` in slices of about ``limit`` bytes of text (a longer single text is a slice of its own)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
