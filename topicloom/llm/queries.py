@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import byte_bpe, exact_dedup, line_dedup, packing, quality
+from topicloom.llm import byte_bpe, exact_dedup, line_dedup, ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs)
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op3_byte_bpe": op3_byte_bpe,
         "op6_packing": op6_packing,
+        "op7_ngram_join": op7_ngram_join,
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
