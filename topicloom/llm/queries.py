@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicloom.llm import byte_bpe, exact_dedup, line_dedup, ngram_join, packing, quality
+from topicloom.llm import byte_bpe, exact_dedup, line_dedup, ngram_join, packing, pii, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    return found.select("doc_id", *counts, F.sha2(pii.digest_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest_string(F.col("spans")).alias("spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = line_dedup.drop_boilerplate(docs)
@@ -66,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": op3_byte_bpe,
         "op6_packing": op6_packing,
         "op7_ngram_join": op7_ngram_join,
+        "op8_pii": op8_pii,
         "op9_line_dedup": op9_line_dedup,
         "op10_exact_dedup": op10_exact_dedup,
     }
