@@ -34,6 +34,8 @@ SUB, SAMPLE, FIT_ROUNDS, CODE_ROUNDS = 2, 20_000, 8, 3
 THRESHOLD = 0.2
 #: Rows of a block, queries of a block, rows of a block that are scored exactly for a query.
 BLOCK, QUERY_BLOCK, RERANK = 4096, 256, 256
+#: Standard deviations of the table scores' error within which a row still is scored exactly.
+DEVIATIONS = 3.0
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -99,15 +101,17 @@ def packed(codes: np.ndarray) -> np.ndarray:
     return codes[:, 0::2] | (codes[:, 1::2] << 4)
 
 
-def tables(queries: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """(bytes of a code, 256, queries): sums of two 8-bit table entries, for each query on a scale of its own."""
+def tables(queries: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of a code, 256, queries): sums of two 8-bit table entries; and for each query their unit and their zero."""
     m = centres.shape[0]
     parts = _padded(queries).reshape(len(queries), m, SUB)
     inner = np.einsum("qms,mks->mkq", parts, centres)
-    inner -= inner.min(1, keepdims=True)
-    small = np.rint(inner * (255 / np.maximum(inner.max((0, 1)), 1e-30))).astype(np.uint16)
+    least = inner.min(1, keepdims=True)
+    inner -= least
+    unit = np.maximum(inner.max((0, 1)), 1e-30) / 255
+    small = np.rint(inner / unit).astype(np.uint16)
     low, high = small[0::2], small[1::2]
-    return (high[:, :, None, :] + low[:, None, :, :]).reshape(m // 2, 256, -1)
+    return (high[:, :, None, :] + low[:, None, :, :]).reshape(m // 2, 256, -1), unit, least.sum((0, 1))
 
 
 def scan(code_bytes: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -178,10 +182,17 @@ def _search(sent, k: int, rerank: int):
                 _, first, class_of, copies = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True, return_counts=True)
                 members = np.argsort(class_of, kind="stable")
                 starts, copies = np.cumsum(copies) - copies, np.minimum(copies, k + 1)
-                scores = scan(get("codes", np.uint8).reshape(len(ids), -1)[first], tables(q, centres)).T.copy()
+                table, unit, zero = tables(q, centres)
+                scores = scan(get("codes", np.uint8).reshape(len(ids), -1)[first], table).T.copy()
                 found: list[list[np.ndarray]] = [[], [], []]
                 for i in range(len(q_ids)):
                     some = best(scores[i], max(rerank, k + 1))
+                    if len(some) < len(first):
+                        # Where scores are crowded, all rows that the error seen so far could lift among the best.
+                        exact, guess = x[first[some]] @ q[i], scores[i] * unit[i] + zero[i]
+                        error = exact - guess[some]
+                        least = np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
+                        some = np.union1d(some, np.flatnonzero(guess + DEVIATIONS * np.sqrt((error**2).mean()) >= least))
                     each = copies[some]
                     at = members[np.repeat(starts[some] - np.cumsum(each) + each, each) + np.arange(each.sum())]
                     at = at[rids[at] != q_rids[i]]
