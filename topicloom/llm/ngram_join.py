@@ -6,7 +6,8 @@ prefixes (as many n-grams as a partner may miss, and one).
 
 Index-level skipping: the index lists of prefix n-grams are sorted by set size and walked in blocks; a block
 whose sizes or positions leave no room for the needed overlap is skipped, and lists with the same members
-are one list. Before any set is fetched, a count sketch bounds each pair's overlap from above.
+are one list. Before any set is fetched, parity bitmaps bound each pair's overlap from above: bits in which they
+differ are hashes that only one of the sets holds.
 
 Answer-level skipping: a set is first compared with its nearest partners by that bound. If one of them is
 similar enough, the set takes over that partner's computed answers: both are one class, and pairs inside a
@@ -40,11 +41,12 @@ from topicloom.llm.components import components
 
 #: Words of an n-gram, and the threshold as a ratio of whole numbers.
 WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
-#: Share of documents from which an n-gram counts as frequent; members of a list cell; buckets of the sketch.
-FREQUENT, CELL, BUCKETS = 1 / 2000, 4096, 128
+#: Share of documents from which an n-gram counts as frequent; members of a list cell; bits of the bitmap of a set of that
+#: size at most (larger sets have 2, 4, 8 ... times as many).
+FREQUENT, CELL, BITS = 1 / 2000, 4096, 4096
 #: N-grams counted at once in a task.
 COUNTED = 2_000_000
-#: Partners that a set is compared with in the first round; each later round takes GROWTH times as many.
+#: Pairs in which a class is compared with others of a list in the first round; each later round takes GROWTH times as many.
 NEAREST, GROWTH = 2, 4
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +105,16 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, order: np.ndarray, num: in
     return tokens[:size]
 
 
-def _sketch(tokens: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((tokens >> np.uint64(57)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+def _level(n):
+    """Doublings of ``BITS`` for sets of this size."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(n, 1) / BITS))).astype(np.int64)
+
+
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Parities of the tokens by their hash modulo the number of bits, so that a larger bitmap folds to half by xor."""
+    bits = BITS << int(_level(len(tokens)))
+    at = (tokens % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
 def _summaries(sent, words: int, num: int, den: int):
@@ -118,9 +128,9 @@ def _summaries(sent, words: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("rid"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
-                        pa.array([_sketch(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes))),
+                        pa.array([_bitmap(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(prefixes))),
                     ],
-                    names=["rid", "doc_id", "n", "digest", "sketch", "prefix"],
+                    names=["rid", "doc_id", "n", "digest", "bitmap", "prefix"],
                 )
 
     return run
@@ -261,34 +271,41 @@ def _lists(num: int, den: int):
     return run
 
 
-def _near(n: np.ndarray, sketch: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _near(n: np.ndarray, bitmaps: list[bytes], num: int, den: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For each set x of a list sorted by size: x, the first partner's index, and for it and all later ones in reach
-    of x's size, the sketches' distance and whether it leaves enough overlap."""
-    counts = sketch.astype(np.int16)
+    of x's size, the bits in which they differ and whether those leave enough overlap."""
+    level = _level(n)
     last = np.searchsorted(num * n, den * n, "right")
-    for x in range(len(n)):
-        to = last[x]
-        if to <= x + 1:
-            continue
-        gap = np.abs(counts[x + 1 : to] - counts[x]).sum(1, dtype=np.int64)
-        yield x, x + 1, gap, (n[x] + n[x + 1 : to] - gap) // 2 >= _needed(n[x], n[x + 1 : to], num, den)
-
-
-def _list_of(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[pa.RecordBatch], np.ndarray]:
+    for own in np.unique(level).tolist():
+        # Sizes in reach are at most one level above; their bitmaps are folded to this one.
+        start, stop = np.searchsorted(level, [own, own + 1])
+        to = int(last[stop - 1])
+        words = (BITS << own) // 64
+        rows = np.empty((to - start, words), np.uint64)
+        for i in range(start, to):
+            row = np.frombuffer(bitmaps[i], np.uint64)
+            rows[i - start] = row if len(row) == words else np.bitwise_xor.reduce(row.reshape(-1, words), 0)
+        for x in range(start, stop):
+            if (end := int(last[x])) > x + 1:
+                gap = np.bitwise_count(rows[x + 1 - start : end - start] ^ rows[x - start]).sum(1, dtype=np.int64)
+                yield x, x + 1, gap, (n[x] + n[x + 1 : end] - gap) // 2 >= _needed(n[x], n[x + 1 : end], num, den)
+
+
+def _list_of(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, list[bytes], list[pa.RecordBatch], np.ndarray]:
     rep, n = (np.concatenate([b.column(c).to_numpy() for b in group]) for c in ("rep", "n"))
-    sketch = np.frombuffer(b"".join(x for b in group for x in b.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+    bitmaps = [x for b in group for x in b.column("bitmap").to_pylist()]
     by = np.lexsort((rep, n))
-    return rep[by], n[by].astype(np.int64), sketch[by], group, by
+    return rep[by], n[by].astype(np.int64), [bitmaps[i] for i in by], group, by
 
 
 def _pruned(num: int, den: int):
-    """The rows of lists whose members have a partner that the sketches allow."""
+    """The rows of lists whose members have a partner that the bitmaps allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, "list"):
-            rep, n, sketch, group, by = _list_of(group)
+            rep, n, bitmap, group, by = _list_of(group)
             alive = np.zeros(len(n), bool)
-            for x, first, _, fits in _near(n, sketch, num, den):
+            for x, first, _, fits in _near(n, bitmap, num, den):
                 if fits.any():
                     alive[x] = True
                     alive[first : first + len(fits)] |= fits
@@ -300,17 +317,17 @@ def _pruned(num: int, den: int):
 
 
 def _pairs(nearest: int, num: int, den: int):
-    """(a, b, more): for each set its nearest partners in other classes; more: the list holds further ones."""
+    """(a, b, more): for each class of a list its nearest pairs with other classes; more: the list holds further ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_out, b_out, more_out = [], [], []
         for group in _groups(batches, "list"):
-            rep, n, sketch, group, by = _list_of(group)
+            rep, n, bitmap, group, by = _list_of(group)
             label = np.concatenate([b.column("label").to_numpy() for b in group])[by]
             if (label == label[0]).all():
                 continue
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for x, first, gap, fits in _near(n, sketch, num, den):
+            for x, first, gap, fits in _near(n, bitmap, num, den):
                 at = np.flatnonzero(fits & (label[first : first + len(fits)] != label[x]))
                 if len(at):
                     found.append((np.full(len(at), x), first + at, gap[at]))
@@ -318,7 +335,7 @@ def _pairs(nearest: int, num: int, den: int):
                 continue
             a, b, gap = (np.concatenate(z) for z in zip(*found, strict=True))
             keep = np.zeros(len(a), bool)
-            for x in (a, b):  # a pair stays if it is among the nearest of either of its sets
+            for x in (a, b):  # a pair stays if it is among the nearest of either of its classes
                 order = np.lexsort((np.minimum(rep[a], rep[b]), gap, x))
                 starts = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
                 rank = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
@@ -370,14 +387,14 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = spark.sparkContext.broadcast(_frequent(rows.select("text"), words))
     numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
-    own = written(numbered.mapInArrow(_summaries(sent, words, num, den), "rid long, doc_id long, n long, digest binary, sketch binary, prefix array<long>"), "sets")
-    classes = own.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("prefix").alias("prefix"))
+    own = written(numbered.mapInArrow(_summaries(sent, words, num, den), "rid long, doc_id long, n long, digest binary, bitmap binary, prefix array<long>"), "sets")
+    classes = own.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
     classes = written(classes, "classes")
 
     entries = classes.select("rep", "n", "prefix").mapInArrow(_entries(sent), "key long, rep long, n int, pos int")
     lists = entries.repartition(width(spark), "key").sortWithinPartitions("key", "n").mapInArrow(_lists(num, den), "members array<long>")
     lists = written(lists.distinct().select(F.monotonically_increasing_id().alias("list"), "members"), "lists")
-    members = lists.select("list", F.explode("members").alias("rep")).join(classes.select("rep", "n", "sketch"), "rep")
+    members = lists.select("list", F.explode("members").alias("rep")).join(classes.select("rep", "n", "bitmap"), "rep")
     by_list = members.repartition(width(spark), "list").sortWithinPartitions("list")
     members = written(by_list.mapInArrow(_pruned(num, den), by_list.schema), "members")
 
