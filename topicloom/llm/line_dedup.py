@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from topicloom.llm._common import broadcast_if_small, written
 
 #: Share of a host's pages from which on a line is boilerplate, and the least number of such pages.
-RATIO = 0.005
+RATIO = 0.1
 MIN_PAGES = 3
 
 

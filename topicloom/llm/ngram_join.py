@@ -15,7 +15,7 @@ class are never compared again. Only what differs - partners in other classes th
 out - is compared, in rounds, until none is left. So a group of near copies costs about its number of members, not
 of pairs, and no link between classes is lost: each pair left out is linked already or cannot be similar.
 
-Scale: prefix entries (about 15 % of the n-grams) are shuffled once; texts are read three times; whole sets
+Scale: prefix entries (one less the threshold, of the n-grams) are shuffled once; texts are read three times; whole sets
 are made only for members of surviving lists. The table of frequent n-grams that goes to the tasks has at
 most (mean set size) / FREQUENT entries. Lists of frequent n-grams are dealt over pairs of salts, of about
 ``CELL`` members each.
@@ -40,7 +40,7 @@ from topicloom.llm._common import broadcast_if_small, text_slices, width, writte
 from topicloom.llm.components import components
 
 #: Words of an n-gram, and the threshold as a ratio of whole numbers.
-WORDS, NUMERATOR, DENOMINATOR = 4, 85, 100
+WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 #: Share of documents from which an n-gram counts as frequent; members of a list cell; bits of the bitmap of a set of that
 #: size at most (larger sets have 2, 4, 8 ... times as many).
 FREQUENT, CELL, BITS = 1 / 2000, 4096, 4096

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -40,7 +40,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = byte_bpe.encode(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
+    done = byte_bpe.encode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return done.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
@@ -61,11 +61,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), words=4, numerator=85, denominator=100)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +107,7 @@ counted as (
   from (select distinct rid, source, line from (select rid, source, unnest(lines) as line from pages)) where trim(line) <> '' group by source, line),
 boiler as (
   select c.source, list(c.line) as dropped from counted c join totals t on c.source is not distinct from t.source
-  where c.pages >= 3 and c.pages > 0.005::double * t.host_pages group by c.source),
+  where c.pages >= 3 and c.pages > 0.1::double * t.host_pages group by c.source),
 kept as (
   select p.doc_id, p.lines, case when b.dropped is null then p.lines else list_filter(p.lines, lambda x: not list_contains(b.dropped, x)) end as kept
   from pages p left join boiler b on p.source is not distinct from b.source)
