@@ -47,7 +47,7 @@ FREQUENT, CELL, BITS = 1 / 2000, 4096, 4096
 #: N-grams counted at once in a task.
 COUNTED = 2_000_000
 #: Pairs in which a class is compared with others of a list in the first round; each later round takes GROWTH times as many.
-NEAREST, GROWTH = 2, 4
+NEAREST, GROWTH = 1, 8
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -335,7 +335,7 @@ def _pairs(nearest: int, num: int, den: int):
                 continue
             a, b, gap = (np.concatenate(z) for z in zip(*found, strict=True))
             keep = np.zeros(len(a), bool)
-            for x in (a, b):  # a pair stays if it is among the nearest of either of its classes
+            for x in (label[a], label[b]):  # a pair stays if it is among the nearest of either of its classes
                 order = np.lexsort((np.minimum(rep[a], rep[b]), gap, x))
                 starts = np.flatnonzero(np.r_[True, x[order][1:] != x[order][:-1]])
                 rank = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
