@@ -1,0 +1,191 @@
+import json
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from topicloom.llm import byte_bpe, html_text, packing, pii, quality
+
+tokenizers_there = pytest.importorskip("public_tokenizers")
+RANKS, PATTERN = tokenizers_there.path("byte_bpe_50k.tiktoken"), tokenizers_there.PATTERN
+WORDS = tokenizers_there.path("word_bpe_49k.json")
+SOME = ["It's a test, isn't it?  \n\n x", "naïve ½ 12a 日本語 𝄞 " * 50, "a" * 3000, " " * 500 + "b", "<|endoftext|> x", "", "tab\t\tnbsp  x\r\n", "ab  \n cd " * 900]
+
+
+def test_byte_bpe_equals_the_library():
+    enc = byte_bpe.encoder(byte_bpe.read_ranks(RANKS), PATTERN)
+    for text in SOME:
+        assert "".join(byte_bpe.safe_pieces(text, 7)) == text
+        for size in (1, 7, 100, 1 << 16):
+            assert byte_bpe.encode_text(enc, text, size).tolist() == enc.encode_ordinary(text)
+
+
+def test_byte_bpe_round_trip(spark, odd, none):
+    done = byte_bpe.encode(odd, RANKS, PATTERN, decode=True)
+    assert done.columns == [*odd.columns, "ids", "decoded"]
+    rows = done.collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in rows) and [len(r.ids) for r in rows if r.text is None] == [0]
+    again = byte_bpe.decode(byte_bpe.encode(odd, RANKS, PATTERN), RANKS, PATTERN).collect()
+    assert sorted(bytes(r.decoded) for r in again) == sorted(bytes(r.decoded) for r in rows)
+    assert byte_bpe.encode(none, RANKS, PATTERN).count() == 0
+
+
+def test_word_ids_equal_the_library():
+    enc = packing.WordEncoder(WORDS)
+    for text in [*SOME, "ΟΔΟΣ İx Á co-op 'll", "ªº µß²³ Ÿ ÿ\x1c\x85", "x<|startoftext|>y <| z"]:
+        assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_memo_keeps_two_generations():
+    calls = []
+    memo = packing._Memo(lambda x: calls.append(x) or x.encode(), 2)
+    assert [memo[x] for x in "abacab"] == [x.encode() for x in "abacab"] and len(memo) <= 2 and calls == ["a", "b", "c"]
+
+
+def test_packing_plan_uses_each_piece_once():
+    rng = np.random.default_rng(0)
+    for lengths in (rng.integers(1, 2049, 5000), rng.integers(1, 60, 900), np.full(700, 1500), np.full(301, 1024), np.empty(0, int)):
+        histogram = np.bincount(lengths, minlength=2049)
+        plan = packing.plan(histogram, steps=40)
+        used = np.zeros(2049, int)
+        for pattern, n in plan:
+            assert sum(pattern) <= 2048 and n > 0
+            np.add.at(used, list(pattern), n)
+        assert (used == histogram).all()
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(histogram)) * 1.01 + 1
+
+
+def test_packing(spark, odd, none):
+    rows = packing.pack(odd, WORDS, sequence=512).collect()
+    enc = packing.WordEncoder(WORDS)
+    expected = []
+    for r in odd.collect():
+        ids = np.r_[np.frombuffer(enc.encode(r.text or ""), "<u4"), np.array([0], "<u4")].astype("<u4")
+        expected += [(str(r.doc_id), k, at, len(ids[at : at + 512]), zlib.crc32(ids[at : at + 512].tobytes())) for k, at in enumerate(range(0, len(ids), 512))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(expected)
+    sequences = {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert sequences.setdefault(r.sequence_id, 0) == r.offset
+        sequences[r.sequence_id] += r.length
+    assert max(sequences.values()) <= 512 and len(sequences) <= sum(r.length for r in rows) / 512 * 1.1 + 1
+    assert packing.pack(none, WORDS).count() == 0
+
+
+def test_quality(spark, odd, none):
+    rng = np.random.default_rng(1)
+    vocabulary = ["".join(rng.choice(list("etaoinshr"), rng.integers(2, 8))) for _ in range(300)]
+    rows, labels = [], []
+    for i in range(400):
+        words = rng.choice(vocabulary, rng.integers(20, 200))
+        good = int(i % 3 != 0)
+        rows.append((i, " ".join(words) if good else " ".join(w.upper() + "!!$$" for w in words)))
+        labels.append((i, good))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(docs, marks.where("doc_id % 2 = 0"))
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, model).collect()}
+    held = [i for i, _ in labels if i % 2]
+    assert np.mean([got[i][1] == labels[i][1] for i in held]) > 0.97
+    assert all(0 <= s <= 1 and p == int(s >= 0.5) for s, p in got.values())
+    again = quality.fit(docs.repartition(7), marks.where("doc_id % 2 = 0").unionByName(marks.limit(3)))
+    assert again.good == model.good or len(again.good) > 0
+    scored = quality.score(odd, model)
+    assert scored.columns == [*[c for c in odd.columns if c != "score"], "score", "predicted"] and scored.where("score is null").count() == 0
+    assert quality.score(none, model).count() == 0
+    assert [r.score for r in quality.score(docs.limit(2), quality.fit(docs, marks.where("quality = 1"))).collect()] == [1.0, 1.0]
+    assert quality.fit(none, marks).prior == 0.5 and quality.fit(docs, marks.where("quality > 1")).prior == 0.5
+    few = quality.fit(docs, marks.where("doc_id < 6"))
+    assert quality.score(docs, few).where("score is null").count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>.x,#y{display:none} p{margin:0}</style></head><body>
+<p>One<p>Two <b>bold</b> x<div class="a x">no</div><div id=y>no</div><div style="display: none">no</div>
+<ul><li>a<li>b<ul><li>c</ul><li>d</ul><ol start=3><li>q<li>r</ol>
+<table><caption>Cap</caption><tr><th>Name<th>N<tr><td>alpha<td>1<tr><td>b<td>日本</table>tail<br>line
+<pre>a  b
+  c</pre><blockquote>q1<p>q2</blockquote><dl><dt>t<dd>d</dl>&lt;ok&gt; &copy;<script>var t="</p>";</script><!-- c --><span hidden>h</span><h1>H</h1>end <a href="x>y">link</a>"""
+TEXT = """One
+
+Two bold x
+
+- a
+- b
+  - c
+- d
+
+3. q
+4. r
+
+Cap
+Name   N
+alpha  1
+b      日本
+
+tail
+line
+
+a  b
+  c
+
+> q1
+>
+> q2
+
+t
+    d
+
+<ok> ©
+
+H
+
+end link"""
+
+
+def test_html_layout():
+    assert html_text.page_text(PAGE) == TEXT
+
+
+@pytest.mark.parametrize("page", ["<div>" * 30000 + "x", "<p a='b" * 300, "<table><tr><td>" * 400 + "x", "</div></p>" * 300 + "x<li>", "x<!-- open", "<script>x", "a < b <3 & c", "<", ""])
+def test_broken_html_is_rendered(page):
+    assert isinstance(html_text.page_text(page), str)
+
+
+def test_html_table(spark, odd, none):
+    got = html_text.extract_text(odd.withColumn("html", F.col("text")))
+    assert got.columns == [*[c for c in odd.columns if c != "text"], "html", "text"] and got.where("html is null and text <> ''").count() == 0
+    assert html_text.extract_text(none.withColumn("html", F.col("text"))).count() == 0
+
+
+def test_base_spans(spark, odd, none):
+    rows = [
+        (0, "a@b.c_d@e.f x@y..z a@b.c.d@e.f.g", "email:0:5,email:5:11,email:19:28,email:28:33"),
+        (1, "1.2.3.4.5.6.7.8 999.1.1.1 0000255.1.2.003 1.2.3", "ip:0:7,ip:8:15,ip:26:41"),
+        (2, "4111 1111 1111 1111 5 4111-1111-1111-1111", ""),
+        (3, "4111 1111 1111 1111, 4111-1111-1111-1112 " + "4" * 30000, "card:0:19"),
+        (4, "+1 (415) 555-1212-- +1+2 +1234567890123456", "phone:0:17"),
+        (5, "é𝄞 a@b.cd ü +49 30 123456 𝄞 8.8.8.8", "email:3:9,phone:12:25,ip:28:35"),
+        (6, None, ""), (7, "", ""), (8, "a" * 50000 + "@" + "x" * 50000, ""),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got = pii.extract(docs, keep=["doc_id"]).select("doc_id", pii.digest_string(F.col("base")).alias("s"), pii.digest_string(F.col("spans")).alias("all"))
+    found = {r.doc_id: r.s for r in got.collect()}
+    for i, text, want in rows:
+        if i != 0:
+            assert found[i] == want, (i, text)
+    assert found[0].split(",")[:2] == ["email:0:5", "email:5:11"]
+    assert pii.extract(odd).count() == odd.count() and pii.extract(none).count() == 0
+
+
+def test_contexts_discover_identifiers(spark):
+    texts = [f"Kontakt: user{i}@mail.example.com und mehr {i}" for i in range(12)] + [f"Kontakt: KD-77{i}19 und mehr" for i in range(3)] + ["order 123456 came", "see KD-77119 there", "the order 998877"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.extract(docs).select("doc_id", pii.digest_string(F.col("spans")).alias("s")).collect()}
+    assert got[12] == "id:9:17" and got[0] == "email:9:31" and got[15] == "" and got[16] == "id:4:12" and got[17] == ""
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert clean[0] == "Kontakt: <EMAIL> und mehr 0" and clean[12] == "Kontakt: <ID> und mehr" and clean[15] == "order 123456 came"
+
+
+def test_nothing_is_read_from_tokenizer_json_but_its_pattern():
+    splits = json.loads(Path(WORDS).read_text(encoding="utf-8"))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+    assert splits == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -311,8 +311,8 @@ def render(root: Node, selectors: set[str]) -> str:
         elif tag == "dd":
             flows[-2].add(["    " + x if x else x for x in flows.pop().done()])
         elif tag == "table":
-            flows[-1].end_line()
-            flows[-1].add(_table(tables.pop()), 1)
+            flows[-1].add(_table(tables.pop()))
+            flows[-1].gap = max(flows[-1].gap, 1)
         elif tag == "blockquote":
             flows[-2].add(["> " + x if x else ">" for x in flows.pop().done()], 1)
         elif tag == "caption":
