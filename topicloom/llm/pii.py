@@ -89,13 +89,12 @@ def _with_context(text: Column, spans: Column) -> Column:
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``rid``, ``base`` (spans with contexts) and ``candidates`` (tokens that overlap no base span)."""
+    """``docs`` with ``__rid``, ``__base`` (spans with contexts) and ``__candidates`` (tokens that overlap no base span)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("rid", F.monotonically_increasing_id()).withColumn("__base", base_spans(text))
+    found = docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__base", base_spans(text))
     tokens = _spans(text, CANDIDATE, "id", F.rlike(text, F.lit("[0-9]")))
     free = F.filter(tokens, lambda c: ~F.exists(F.col("__base"), lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    found = found.withColumn("base", _with_context(text, F.col("__base"))).withColumn("candidates", _with_context(text, free))
-    return found.drop("__base")
+    return found.withColumn("__candidates", _with_context(text, free)).withColumn("__base", _with_context(text, F.col("__base")))
 
 
 def _occurrences(found: DataFrame, column: str, seed: int) -> DataFrame:
@@ -112,7 +111,7 @@ def _word_counts(docs: DataFrame, text_col: str, words: DataFrame) -> DataFrame:
 
 def discover(docs: DataFrame, found: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(instance, score): identifiers that no base pattern finds, from the contexts of those that they do find."""
-    edges = _occurrences(found, "base", 1).unionByName(_occurrences(found, "candidates", 0))
+    edges = _occurrences(found, "__base", 1).unionByName(_occurrences(found, "__candidates", 0))
     edges = edges.groupBy("side", "word", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
     # A pattern needs that many distinct instances, whatever their scores will be.
     broad = edges.groupBy("side", "word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= MIN_SUPPORT).select("side", "word")
@@ -137,19 +136,25 @@ def discover(docs: DataFrame, found: DataFrame, text_col: str = "text", rounds:
     return accepted
 
 
+def _extracted(docs: DataFrame, text_col: str, keep: list[str], rounds: int) -> DataFrame:
+    """The ``keep`` columns with ``__base`` and ``__spans``."""
+    found = written(entities(docs, text_col).select("__rid", *keep, "__base", "__candidates"), "entities")
+    accepted = discover(docs, found, text_col, rounds)
+    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["m"].alias("m")))
+    more = found.select("__rid", F.explode(plain(F.col("__candidates"))).alias("s")).join(broadcast_if_small(accepted, 96, 8 << 20), F.col("s.m") == F.col("instance"))
+    more = more.groupBy("__rid").agg(F.collect_list("s").alias("__more"))
+    out = found.join(more, "__rid", "left").withColumn("__base", plain(F.col("__base")))
+    return out.select(*keep, "__base", F.array_sort(F.concat("__base", F.coalesce("__more", F.array().cast(_SPAN)))).alias("__spans"))
+
+
 def extract(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """The ``keep`` columns of ``docs`` (all, if None) with ``base`` and ``spans``: arrays of (start, k, end, m), sorted.
 
-    ``spans`` holds the base spans and the discovered ones; k is the place in ``KINDS``.
+    ``spans`` holds the base spans and the discovered ones; k is the place in ``KINDS``. Columns of ``docs`` with these
+    two names give way.
     """
-    keep = docs.columns if keep is None else keep
-    found = written(entities(docs, text_col).select("rid", *keep, "base", "candidates"), "entities")
-    accepted = discover(docs, found, text_col, rounds)
-    plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["m"].alias("m")))
-    more = found.select("rid", F.explode(plain(F.col("candidates"))).alias("s")).join(broadcast_if_small(accepted, 96, 8 << 20), F.col("s.m") == F.col("instance"))
-    more = more.groupBy("rid").agg(F.collect_list("s").alias("__more"))
-    out = found.join(more, "rid", "left").withColumn("base", plain(F.col("base")))
-    return out.select(*keep, "base", F.array_sort(F.concat("base", F.coalesce("__more", F.array().cast(_SPAN)))).alias("spans"))
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    return _extracted(docs, text_col, keep, rounds).select(*keep, F.col("__base").alias("base"), F.col("__spans").alias("spans"))
 
 
 def digest_string(spans: Column) -> Column:
@@ -160,7 +165,7 @@ def digest_string(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with each span (overlapping ones as one) replaced by its kind in angle brackets, as <EMAIL>."""
-    found = extract(docs, text_col, None, rounds)
+    found = _extracted(docs, text_col, docs.columns, rounds)
     text, names = F.col(text_col), F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
@@ -171,5 +176,5 @@ def redact(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Dat
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(text)
+    clean = F.when(F.size("__spans") > 0, F.aggregate("__spans", start, step, rest)).otherwise(text)
     return found.withColumn(text_col, clean).select(*docs.columns)
