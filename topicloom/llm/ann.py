@@ -153,14 +153,14 @@ def _pack(size: int, sent):
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
-            at = 0
+            numbers, at = batch.column("block").to_numpy(), 0
             while at < batch.num_rows:
-                cut = batch.slice(at, size - n)
-                held.append(cut)
-                n, at = n + cut.num_rows, at + cut.num_rows
-                if n == size:
+                if held and (n == size or held[0]["block"][0].as_py() != numbers[at]):
                     yield out(pa.Table.from_batches(held))
                     held, n = [], 0
+                same = int(np.searchsorted(numbers, numbers[at], "right")) - at  # rows come by block
+                held.append(batch.slice(at, min(same, size - n)))
+                n, at = n + held[-1].num_rows, at + held[-1].num_rows
         if held:
             yield out(pa.Table.from_batches(held))
 
@@ -227,11 +227,10 @@ def search(vectors: DataFrame, queries_where: Column, k: int = 20, id_col: str =
     blocks = max(1, -(-n // BLOCK))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "rid"), F.lit(blocks)))
     by_block = dealt.select("block", "id", "rid", "v").repartitionByRange(blocks, "block").sortWithinPartitions("block")
-    data = written(by_block.mapInArrow(_pack(2 * BLOCK, sent), _PACKED).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    data = written(by_block.mapInArrow(_pack(2 * BLOCK, sent), _PACKED), "blocks")
     asked = rows.where("q").select(F.lit(0).cast("long").alias("block"), "id", "rid", "v").repartitionByRange(max(1, blocks // 8), "id", "rid")
     asked = written(asked.mapInArrow(_pack(QUERY_BLOCK, None), _PACKED), "queries")
-    numbers = F.array(*(F.lit(x["block"]) for x in data.select("block").orderBy("block").collect()))  # one number a block
-    asked = asked.select(F.explode(numbers).alias("block"), F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("vectors").alias("q_vectors"))
+    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("vectors").alias("q_vectors"))
     pairs = asked.join(data, "block").select("ids", "rids", "vectors", "codes", "q_ids", "q_rids", "q_vectors")
     found = pairs.mapInArrow(_search(sent, k, rerank), schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
