@@ -13,9 +13,9 @@ Sorting. A shard joins its strings and sorts all their suffixes by external indu
 queues of (character, place, common prefix) on disk, recursion on the names of LMS substrings. Adjacent suffixes
 with a common prefix of WINDOW bytes are repeated windows. Memory is bounded by the queues' limit, not by the shard.
 
-Scale: texts are read four times and are not shuffled as long as what they are joined with is small (checked;
-else by a shuffled join). What is shuffled is about 50 bytes for each 90 bytes of text; a hash that very many
-places hold is sorted, not gathered.
+Scale: texts are read four times, and shuffled once, to meet the places whose strings the shards need, and once more
+to meet their spans, unless the written table of spans is small (checked). Before that about 50 bytes for each 90
+bytes of text are shuffled; a hash that very many places hold is sorted, not gathered.
 
 Defined results: a null text counts as empty; equal documents are whole repeats of each other (if they have
 WINDOW bytes); repeated rows are equal documents; shorter texts stay; null ids stay null; an empty table
@@ -246,8 +246,6 @@ def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     heads = several.where("first").join(mixed, ["h", "g"]).groupBy("key").agg(F.collect_list(F.struct("h", "g", "many", "start", "n")).alias("wanted"))
     heads = written(heads, "heads")
-    bytes_ = heads.agg(F.coalesce(F.sum(F.size("wanted") * 48 + 48), F.lit(0))).first()[0]
-    heads = F.broadcast(heads) if bytes_ <= 32 << 20 else heads
     strings = texts.join(heads, "key").select("key", "text", "wanted").mapInArrow(_strings, "h long, g binary, many boolean, s binary")
     runs = strings.repartition(width(spark), "h").sortWithinPartitions("h", "g").mapInArrow(_shards, _FOUND)
     runs = written(runs, "runs").select("h", "g", "at", F.col("n").alias("m"))
