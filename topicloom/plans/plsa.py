@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from topicloom.operators.bow import packed
 from topicloom.plans import kernels
 from topicloom.plans.stopping import EarlyStopping
+from topicloom.session import cut
 
 log = logging.getLogger(__name__)
 
@@ -185,7 +186,7 @@ class DensePLSA:
         before = -math.inf
         for _ in range(self.max_iter):
             new_phi, new_theta = em.dense_step(bow, phi, theta, topics, self.eps)
-            phi, theta = new_phi.checkpoint() if _reliable(spark) else new_phi.persist(), new_theta.checkpoint() if _reliable(spark) else new_theta.persist()
+            phi, theta = cut(new_phi, "phi"), cut(new_theta, "theta")
             ll = em.dense_log_likelihood(bow, phi, theta, topics, self.eps).first()[0] or 0.0
             self.log_likelihoods.append(ll)
             if abs(ll - before) < self.tol:
@@ -219,7 +220,3 @@ def _seeded_theta(bow: DataFrame, topics: int, seed: int) -> DataFrame:
 
     u = lambda k: -F.ln((F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_004.0)
     return bow.select("doc_id").distinct().select("doc_id", *(u(k).alias(f"t{k}") for k in range(topics)))
-
-
-def _reliable(spark) -> bool:
-    return spark.sparkContext.getCheckpointDir() is not None

@@ -6,7 +6,7 @@ rounded, since sums depend on the order of addition.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +17,7 @@ from topicloom.functions import text as X
 from topicloom.operators import batches, bow, em, report, vocab
 from topicloom.plans.plsa import PLSA, DensePLSA, phi_frame
 from topicloom.plans.regularised import RegularisedModel
+from topicloom.session import cut, shared_folder
 from topicloom.sources import corpus
 
 T, MIN_DF, MAX_DF = 5, 5, 0.95
@@ -39,28 +40,28 @@ def base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in TABLES:
         tok = vocab.tokenised(documents(spark, sf_dir))
-        v = vocab.build_vocabulary(tok, MIN_DF, MAX_DF).persist()
+        v = cut(vocab.build_vocabulary(tok, MIN_DF, MAX_DF), "vocab").persist()
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        b = bow.bag_of_words(tok, v).repartition(parts, "doc_id").persist()
+        b = cut(bow.bag_of_words(tok, v), "bow").repartition(parts, "doc_id").persist()
         TABLES[key] = {"tok": tok, "vocab": v, "bow": b}
     return TABLES[key]
 
 
 def start(x: dict[str, DataFrame]) -> DataFrame:
     if "phi0" not in x:
-        x["phi0"] = em.arithmetic_phi(x["vocab"], T).persist()
+        x["phi0"] = cut(em.arithmetic_phi(x["vocab"], T), "phi").persist()
     return x["phi0"]
 
 
 def after_one(x: dict[str, DataFrame]) -> DataFrame:
     if "phi1" not in x:
-        x["phi1"] = em.plsa_step(x["bow"], start(x), x["vocab"], T).persist()
+        x["phi1"] = cut(em.plsa_step(x["bow"], start(x), x["vocab"], T), "phi").persist()
     return x["phi1"]
 
 
 def after_two(x: dict[str, DataFrame]) -> DataFrame:
     if "phi2" not in x:
-        x["phi2"] = em.plsa_step(x["bow"], after_one(x), x["vocab"], T).persist()
+        x["phi2"] = cut(em.plsa_step(x["bow"], after_one(x), x["vocab"], T), "phi").persist()
     return x["phi2"]
 
 
@@ -136,7 +137,7 @@ def _dense_start(x: dict[str, DataFrame]) -> DataFrame:
 def dense_plsa_2iter(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
     phi, theta = em.dense_step(x["bow"], start(x), _dense_start(x), T)
-    return long_theta(em.dense_step(x["bow"], phi, theta, T)[1])
+    return long_theta(em.dense_step(x["bow"], cut(phi, "phi"), cut(theta, "theta"), T)[1])
 
 
 #: (patience, min_delta) of the replayed early stopping.
@@ -192,7 +193,7 @@ def online_fit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents to a CSV folder, to a Parquet folder, and back with document numbers."""
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/csv-{np.random.default_rng().integers(1 << 62)}"
+    root = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
     rows = documents(spark, sf_dir).orderBy("doc_id").select("doc_id", F.col("text").alias("Description"))
     rows.coalesce(1).write.csv(f"{root}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     corpus.csv_folder_to_parquet(spark, f"{root}/csv", f"{root}/parquet")

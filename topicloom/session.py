@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -31,6 +32,26 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; where none is set (one machine), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = f"file://{tempfile.mkdtemp(prefix='topicloom-shared-')}"
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table: its plan is a scan, however long the one that made it.
+
+    An EM step refers to phi several times, so plans of steps on steps would grow as a power of their number.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def local_session(name: str = "topicloom", cores: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A session on this machine with adaptive execution on."""
     return (
