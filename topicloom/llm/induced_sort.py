@@ -23,6 +23,11 @@ import numpy as np
 _ITEM = np.dtype([("c", "<i4"), ("p", "<i8"), ("l", "<i2")])
 
 
+def _stable(x: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative integers; small ones are radix-sorted."""
+    return np.argsort(x.astype(np.uint16) if not len(x) or x.max() < 1 << 16 else x, kind="stable")
+
+
 class BucketQueue:
     """Items by character, first in first out; all but the range of characters in use may lie on disk."""
 
@@ -50,13 +55,13 @@ class BucketQueue:
         r = self.range_of[chars]
         if (here := r == self.now).any():
             own = items[here]
-            own = own[np.argsort(own["c"], kind="stable")]
+            own = own[_stable(own["c"])]
             cuts = np.flatnonzero(np.diff(own["c"])) + 1
             for part in np.split(own, cuts):
                 self.live[int(part["c"][0])].append(part)
         if not here.all():
             rest, rr = items[~here], r[~here]
-            order = np.argsort(rr, kind="stable")
+            order = _stable(rr)
             rest, rr = rest[order], rr[order]
             for part, k in zip(np.split(rest, np.flatnonzero(np.diff(rr)) + 1), rr[np.r_[0, np.flatnonzero(np.diff(rr)) + 1]], strict=True):
                 self.pending[int(k)].append(part)
@@ -85,7 +90,7 @@ class BucketQueue:
         self.live.clear()
         if parts := parts + waiting:
             items = np.concatenate(parts)
-            items = items[np.argsort(items["c"], kind="stable")]
+            items = items[_stable(items["c"])]
             for part in np.split(items, np.flatnonzero(np.diff(items["c"])) + 1):
                 self.live[int(part["c"][0])].append(part)
 
@@ -108,7 +113,7 @@ class _Minima:
         n = len(prefixes)
         out = np.empty(len(at), np.int64)
         if len(at):
-            order = np.argsort(chars, kind="stable")
+            order = _stable(chars)
             a, c = at[order], chars[order]
             first = np.r_[True, c[1:] != c[:-1]]
             from_ = np.where(first, 0, np.r_[0, a[:-1] + 1])
@@ -181,7 +186,7 @@ class Sorter:
         self.folder, self.limit, self.base, self.cap, self.level = folder, limit, base, cap, 0
         self.words = None  # of the text whose common prefixes are carried
 
-    def _induce(self, text: np.ndarray, counts: np.ndarray, is_s: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _induce(self, text: np.ndarray, counts: np.ndarray, seeds: np.ndarray, prefixes: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All suffixes in ascending order with their common prefixes (0 where none are carried), a piece at a time.
 
         ``seeds`` are the LMS places by character, sorted as far as is known.
@@ -290,7 +295,7 @@ class Sorter:
             found = []
             is_lms = np.zeros(len(text), bool)
             is_lms[lms] = True
-            for places, _ in self._induce(text, counts, is_s, by_char, None):
+            for places, _ in self._induce(text, counts, by_char, None):
                 found.append(places[is_lms[places]].copy())
             named = np.concatenate(found)
             ends = np.r_[lms[1:], len(text) - 1]
@@ -313,7 +318,7 @@ class Sorter:
             same = text[seeds[1:]] == text[seeds[:-1]]
             at = np.flatnonzero(same) + 1
             low[at] = capped_prefixes(self.words, seeds[at - 1], seeds[at], self.cap)
-        yield from self._induce(text, counts, is_s, seeds, low)
+        yield from self._induce(text, counts, seeds, low)
 
     @staticmethod
     def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -335,7 +340,7 @@ class Sorter:
             while True:
                 second = np.r_[rank[k:], np.zeros(min(k, len(rank)), np.int64)]
                 key = rank * (rank.max() + 1) + second
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key)  # equal keys get one rank
                 rank = np.empty(len(key), np.int64)
                 rank[order] = np.cumsum(np.r_[True, key[order][1:] != key[order][:-1]])
                 k *= 2
