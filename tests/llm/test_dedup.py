@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -179,6 +180,43 @@ def test_induced_sorting(tmp_path):
     assert not [x for x in tmp_path.rglob("*") if x.is_file() and x.name != "text"]
 
 
+def test_a_sort_takes_memory_by_its_limit_not_by_its_text(tmp_path):
+    rng = np.random.default_rng(2)
+    text = rng.choice(np.frombuffer(b"ab", np.uint8), 300_000)
+    text[200_000:200_500] = text[1000:1500]
+    text[[999, 1500]], text[[199_999, 200_500]] = ord("a"), ord("b")
+    tracemalloc.start()
+    try:
+        total, repeated = 0, []
+        for places, prefixes in induced_sort.sort_bytes(text, str(tmp_path), 10_000, 30_000):
+            total += int(places.sum())
+            repeated += places[prefixes >= 200].tolist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 300_000 * 300_001 // 2 and len(repeated) == 301
+    assert {p - 199_000 if p >= 200_000 else p for p in repeated} == set(range(1000, 1301))
+    assert peak < 8 << 20
+
+
+def test_one_hash_with_more_strings_than_a_shard_goes_to_disk(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 10_000)
+    rng = random.Random(4)
+    shared = bytes(rng.choice(b"abcdef") for _ in range(210))
+    strings = [bytes(rng.choice(b"abcdef") for _ in range(90)) + shared + bytes([65 + i % 7]) for i in range(300)]
+    shard = suffix_dedup.Shard()
+    for i, x in enumerate(strings):
+        shard.add(7, i.to_bytes(16, "big"), i == 0, x)
+    assert shard.text.file is not None and len(shard.text.held) <= 20_000
+    got = sorted((int.from_bytes(g, "big"), a, n) for b in shard.runs(2000) for g, a, n in zip(*(b.column(c).to_pylist() for c in ("g", "at", "n")), strict=True))
+    expected, count = [], Counter(x[k : k + 200] for x in strings for k in range(len(x) - 199))
+    for i, x in enumerate(strings):
+        flags = np.array([count[x[k : k + 200]] > 1 or i == 0 for k in range(len(x) - 199)])
+        edges = np.flatnonzero(np.diff(np.r_[False, flags, False])).tolist()
+        expected += [(i, a, b - a) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    assert got == expected
+
+
 def repeats(texts, window=200):
     data = [(t or "").encode() for t in texts]
     count = Counter(b[p : p + window] for b in data for p in range(len(b) - window + 1))

@@ -11,7 +11,8 @@ shard one string.
 
 Sorting. A shard joins its strings and sorts all their suffixes by external induced sorting (``induced_sort``):
 queues of (character, place, common prefix) on disk, recursion on the names of LMS substrings. Adjacent suffixes
-with a common prefix of WINDOW bytes are repeated windows. Memory is bounded by the queues' limit, not by the shard.
+with a common prefix of WINDOW bytes are repeated windows. Strings, their heads, the text and all orders lie on disk beyond
+a few MB, so memory is bounded by the queues' limit, not by the shard; the disk of a task holds some hundred bytes a byte of it.
 
 Scale: texts are read four times, and shuffled once, to meet the places whose strings the shards need, and once more
 to meet their spans, unless the written table of spans is small (checked). Before that about 50 bytes for each 90
@@ -25,6 +26,7 @@ gives an empty table; cuts are by bytes, so the kept bytes need not be valid UTF
 from __future__ import annotations
 
 import hashlib
+import struct
 import tempfile
 from collections.abc import Iterator
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicloom.llm._common import text_slices, width, written
-from topicloom.llm.induced_sort import eight_bytes, sort_bytes
+from topicloom.llm.induced_sort import array, eight_bytes, pieces, sort_bytes
 
 #: Bytes of a repeated string, of a hashed gram; windows of a string at most; bytes of a shard; items of a sorter in memory.
 WINDOW, GRAM, MOST, SHARD_BYTES, QUEUED = 200, 16, 4096, 4 << 20, 1_000_000
@@ -186,50 +188,89 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.binary(), pa.bool_(), pa.binary()), strict=True)], names=["h", "g", "many", "s"])
 
 
-def repeated_windows(strings: list[bytes], many: np.ndarray, folder: str, queued: int = QUEUED) -> list[np.ndarray]:
-    """For each string, which of its windows are repeated: in another place of the strings, or in one with ``many``."""
-    size = np.array([len(s) + 1 for s in strings])
-    ends = np.cumsum(size)
-    text = np.frombuffer(b"\xfe".join(strings), np.uint8)
-    found = np.zeros(len(text) + 2, bool)
+class Pile:
+    """Bytes that are added one after the other, beyond ``limit`` in a file."""
+
+    def __init__(self, folder: str, limit: int) -> None:
+        self.folder, self.limit, self.held, self.file, self.size = folder, limit, bytearray(), None, 0
+
+    def add(self, data: bytes) -> None:
+        self.held += data
+        self.size += len(data)
+        if len(self.held) > self.limit:
+            self._write()
+
+    def _write(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile(dir=self.folder)  # noqa: SIM115
+        self.file.write(self.held)
+        self.file.flush()
+        self.held = bytearray()
+
+    def array(self, dtype) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(self.held, dtype)
+        self._write()
+        return np.asarray(np.memmap(self.file, dtype, "r"))
+
+
+def repeated_windows(text: np.ndarray, folder: str, queued: int = QUEUED) -> np.ndarray:
+    """Which windows of the strings in ``text``, with 0xFE between, are there in another place too."""
+    found = array(len(text) + 2, bool, folder, queued)
     before = np.empty(0, np.int64)  # the place of the last suffix so far
     for places, prefixes in sort_bytes(text, folder, queued, cap=WINDOW):
         long = np.flatnonzero(prefixes >= WINDOW)
         found[places[long]] = True
         found[np.r_[before if len(before) else places[:1], places[:-1]][long]] = True
         before = places[-1:].copy()
-    return [found[e - n : e - WINDOW] | m for e, n, m in zip(ends.tolist(), size.tolist(), many.tolist(), strict=True)]
+    return found
+
+
+_HEAD = np.dtype([("h", "<i8"), ("g", "V16"), ("many", "?"), ("size", "<i4")])
+
+
+class Shard:
+    """Strings with their heads (hash, digest, whether several places hold the string)."""
+
+    def __init__(self) -> None:
+        self.folder = tempfile.TemporaryDirectory()
+        self.text, self.heads = (Pile(self.folder.name, 2 * SHARD_BYTES) for _ in range(2))
+
+    def add(self, h: int, g: bytes, many: bool, s: bytes) -> None:
+        self.text.add(s + b"\xfe")
+        self.heads.add(struct.pack("<q16s?i", h, g, many, len(s) + 1))
+
+    def runs(self, queued: int = QUEUED) -> Iterator[pa.RecordBatch]:
+        """Repeated runs of windows: in another place of the strings, or in a string that several places hold."""
+        with self.folder as folder:
+            found = repeated_windows(self.text.array(np.uint8)[:-1], folder, queued)
+            heads, end = self.heads.array(_HEAD), 0
+            for part in pieces(len(heads), 10_000):
+                rows: list[list] = [[], [], [], []]
+                for h, g, many, n in zip(*(heads[c][part].tolist() for c in ("h", "g", "many", "size")), strict=True):
+                    end += n
+                    flag = found[end - n : end - WINDOW] | many
+                    edges = np.flatnonzero(np.diff(np.r_[False, flag, False]))
+                    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                        for column, x in zip(rows, (h, g, a, b - a), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["h", "g", "at", "n"])
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated runs of windows of the strings, which come by (h, g); a shard ends with a hash."""
-    strings: list[bytes] = []
-    heads: list[tuple[int, bytes, bool]] = []
-    total = 0
-
-    def sort() -> pa.RecordBatch:
-        rows: list[list] = [[], [], [], []]
-        with tempfile.TemporaryDirectory() as folder:
-            flags = repeated_windows(strings, np.array([m for _, _, m in heads]), folder)
-        for (h, g, _), flag in zip(heads, flags, strict=True):
-            edges = np.flatnonzero(np.diff(np.r_[False, flag, False]))
-            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                for column, x in zip(rows, (h, g, a, b - a), strict=True):
-                    column.append(x)
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["h", "g", "at", "n"])
-
+    shard, last = None, None
     for batch in batches:
         for h, g, many, s in zip(*(batch.column(c).to_pylist() for c in ("h", "g", "many", "s")), strict=True):
-            if heads and heads[-1][:2] == (h, g):
+            if last == (h, g):
                 continue
-            if total >= SHARD_BYTES and heads[-1][0] != h:
-                yield sort()
-                strings, heads, total = [], [], 0
-            strings.append(s)
-            heads.append((h, g, many))
-            total += len(s)
-    if heads:
-        yield sort()
+            if shard is not None and shard.text.size >= SHARD_BYTES and last[0] != h:
+                yield from shard.runs()
+                shard = None
+            shard, last = shard or Shard(), (h, g)
+            shard.add(h, g, many, s)
+    if shard is not None:
+        yield from shard.runs()
 
 
 def repeated_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
