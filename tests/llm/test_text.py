@@ -189,3 +189,23 @@ def test_contexts_discover_identifiers(spark):
 def test_nothing_is_read_from_tokenizer_json_but_its_pattern():
     splits = json.loads(Path(WORDS).read_text(encoding="utf-8"))["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
     assert splits == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@pytest.mark.parametrize(
+    ("sheet", "shown"),
+    [
+        ("@media print{.a{display:none}}", True),
+        ("@media (max-width:600px){p{margin:0}.a{display:none}}", True),
+        ("@supports (display:grid){.a{display:none}}", True),
+        ("@media print{.b{color:red}} .a{display:none}", False),
+        ("@import url('x;{.css'); .a{display:none}", False),
+        ("@media screen{.a{display:none}}", False),
+        ("@media print, screen{.b{margin:0}.a{display:none}}", False),
+        ("/* .x{ */ .b , .a { color:red; display : none }", False),
+        (".b::before{content:'}{'} .a{display:none", False),
+        ("div.a, .c .a{display:none}", True),
+        (".a{color:red}", True),
+    ],
+)
+def test_style_sheets_hide_on_screens_only(sheet, shown):
+    assert html_text.page_text(f"<style>{sheet}</style><p>x<p class=a>secret") == ("x\n\nsecret" if shown else "x")

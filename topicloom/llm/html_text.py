@@ -9,7 +9,9 @@ Scale: one pass over the pages, no shuffle; a task holds a few MB of pages. Both
 renderer keep their own stacks, so that depth is bounded by memory only, and take time in proportion to the page.
 
 Defined results: null or empty HTML gives an empty text; unclosed tags, comments and quotes end with the page;
-stray end tags are ignored; repeated rows are rendered each; an empty table gives an empty table; other
+stray end tags are ignored; of style sheets only rules with a simple selector (one tag, class or id; any of a list) hide, at top level or in
+@media blocks for all media or screens without further conditions - compound selectors and all other at-rules hide nothing,
+so that text is rather kept; repeated rows are rendered each; an empty table gives an empty table; other
 columns pass through, except the output name.
 """
 
@@ -53,7 +55,8 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]{0,1000
 _ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-_RULE = re.compile(r"([^{}]{0,2000})\{([^{}]*)\}")
+_CSS = re.compile(r"""/\*(?:.*?\*/|.*)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[{};]""", re.S)
+_MEDIA = re.compile(r"@media\b(.*)", re.I | re.S)
 _SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][\w-]+)$", re.I)
 
 
@@ -72,6 +75,47 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
+def _on_screens(prelude: str) -> bool:
+    """Whether an at-rule's block holds on screens whatever their size: @media with all or screen among its list."""
+    m = _MEDIA.match(prelude)
+    return bool(m) and any(x.strip().lower() in ("", "all", "screen", "only screen", "only all") for x in m[1].split(","))
+
+
+def hiding_selectors(sheet: str) -> set[str]:
+    """The simple selectors of the rules that hide, read with their nesting."""
+    out: set[str] = set()
+    text: list[str] = []  # since the last brace or semicolon
+    blocks: list[tuple[str, bool]] = []  # open blocks: their preludes, whether rules in them count
+    declared: list[list[str]] = []
+    at = 0
+
+    def end(prelude: str, counts: bool, body: list[str]) -> None:
+        if counts and not prelude.startswith("@") and _HIDING.search(";".join(body)):
+            out.update(x for s in prelude.split(",") if _SIMPLE.match(x := s.strip()))
+
+    for m in _CSS.finditer(sheet):
+        text.append(sheet[at : m.start()])
+        at = m.end()
+        mark = m[0]
+        if mark not in ("{", "}", ";"):
+            text.append("" if mark.startswith("/*") else mark)
+            continue
+        words = "".join(text).strip()
+        text = []
+        if mark == "{":
+            outer = not blocks or (blocks[-1][1] and blocks[-1][0].startswith("@"))
+            blocks.append((words, outer and (not words.startswith("@") or _on_screens(words))))
+            declared.append([])
+        elif blocks:
+            declared[-1].append(words)
+            if mark == "}":
+                end(*blocks.pop(), declared.pop())
+    if blocks:  # a sheet that ends within a rule
+        declared[-1].append("".join([*text, sheet[at:]]).strip())
+        end(*blocks[-1], declared[-1])
+    return out
+
+
 def parse(page: str) -> tuple[Node, set[str]]:
     """The tree, and the simple selectors that style sheets hide."""
     root = Node("#root", {})
@@ -142,9 +186,7 @@ def parse(page: str) -> tuple[Node, set[str]]:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             stop = end.start() if end else n
             if tag == "style":
-                for r in _RULE.finditer(page[at:stop]):
-                    if _HIDING.search(r[2]):
-                        selectors.update(x for s in r[1].split(",") if _SIMPLE.match(x := s.strip()))
+                selectors |= hiding_selectors(page[at:stop])
             else:
                 node.children.append(page[at:stop] if tag in ("xmp",) else html.unescape(page[at:stop]))
             gt = page.find(">", stop) if end else -1
