@@ -209,3 +209,16 @@ def test_nothing_is_read_from_tokenizer_json_but_its_pattern():
 )
 def test_style_sheets_hide_on_screens_only(sheet, shown):
     assert html_text.page_text(f"<style>{sheet}</style><p>x<p class=a>secret") == ("x\n\nsecret" if shown else "x")
+
+
+def test_long_attributes_and_selector_lists_are_read_whole():
+    value = "v" * 100_000 + "<b>SECRET</b>"
+    for quote in "\"'":
+        assert html_text.page_text(f"<p data-x={quote}{value}{quote}>text") == "text"
+    names = [f"c{i}" for i in range(600)]
+    page = f"<style>{','.join('.' + x for x in names)}{{display:none}}</style><p>x" + "".join(f"<p class={x}>hidden" for x in names)
+    assert html_text.page_text(page) == "x"
+
+
+def test_unclosed_quotes_take_time_in_proportion():
+    assert html_text.page_text("<a x=\"" * 100_000 + "'") == ""

@@ -51,7 +51,7 @@ CLOSES["tbody"] = CLOSES["tfoot"] = CLOSES["thead"]
 #: A block's start tag ends an open paragraph, unless one of these stands between.
 P_BORDERS = frozenset("button td th caption table object applet marquee".split())
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]{0,100000}+"|'[^']{0,100000}+'|[^\s>"']*+)|["'])*+)(>|\Z)""")
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+)|["'])*+)(>|\Z)""")
 _ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
