@@ -161,6 +161,15 @@ def test_components(spark, per_task):
     assert got == {x: root(x) for x in range(140) if root(x) != x}
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other, third = long.replace("w", "v"), long.replace("w", "u")
+    rows = [(1, long), (1, long), (1, long + " end"), (1, other), (2, long), (None, other), (None, third), (None, third), (3, ""), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.text.split(" end")[0]) for r in ngram_join.keep_one_of_each(docs).collect())
+    assert got == Counter([(1, long), (1, other), (None, third), (3, ""), (3, "")])
+
+
 # Suffix arrays.
 
 

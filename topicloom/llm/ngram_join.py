@@ -382,11 +382,17 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, np.
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (the least id that links reach)."""
+    return _components(docs, id_col, text_col, words, numerator, denominator).drop("rid", "root")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, numerator: int, denominator: int, rid: Column | None = None) -> DataFrame:
+    """``similar_components`` with the row's number and its component's (null for rows without n-grams)."""
     spark = docs.sparkSession
     num, den = numerator, denominator
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    numbered = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sent = spark.sparkContext.broadcast(_frequent(rows.select("text"), words))
-    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
     own = written(numbered.mapInArrow(_summaries(sent, words, num, den), "rid long, doc_id long, n long, digest binary, bitmap binary, prefix array<long>"), "sets")
     classes = own.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
     classes = written(classes, "classes")
@@ -421,12 +427,22 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     roots = classes.select("digest", "rep", "least").join(stars.select(F.col("a").alias("rep"), F.col("b").alias("to")), "rep", "left").withColumn("root", F.coalesce("to", "rep"))
     ids = roots.groupBy("root").agg(F.min("least").alias("component"))
-    named = roots.join(ids, "root").select(F.col("digest").alias("__d"), "component")
-    out = own.select("doc_id", "n", "digest").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("__d"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = roots.join(ids, "root").select(F.col("digest").alias("__d"), "component", "root")
+    out = own.select("rid", "doc_id", "n", "digest").join(named, F.when(F.col("n") > 0, F.col("digest")) == F.col("__d"), "left")
+    return out.select("rid", "root", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's least; ids must tell rows apart."""
-    kept = similar_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """Of the rows of each component the first by id (null ids last), and all rows without n-grams.
+
+    Only where ids are repeated does the choice need row numbers, and a numbered copy of ``docs`` that holds them; the name
+    ``__rid`` is reserved.
+    """
+    if not docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        kept = similar_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"))
+        return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
+    found = written(_components(numbered, id_col, text_col, WORDS, NUMERATOR, DENOMINATOR, F.col("__rid")).select("rid", "root", "doc_id", "n_shingles"), "components")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias("__rid"))
+    kept = first.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias("__rid")))
+    return numbered.join(kept, "__rid", "left_semi").select(*docs.columns)
