@@ -59,3 +59,8 @@ def test_codes_are_four_bits_and_scans_follow_products():
 
 def ann_decoded(codes, centres):
     return centres[np.arange(centres.shape[0])[None], codes].reshape(len(codes), -1)
+
+
+def test_sums_of_many_subspaces_do_not_wrap():
+    table = np.full((200, 256, 1), 510, np.uint16)
+    assert ann.scan(np.zeros((3, 200), np.uint8), table).tolist() == [[102_000]] * 3

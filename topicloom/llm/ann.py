@@ -116,7 +116,8 @@ def tables(queries: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def scan(code_bytes: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Table scores (rows, queries)."""
-    out = table[0][code_bytes[:, 0]].astype(np.uint16)
+    most = 2 * 255 * code_bytes.shape[1]
+    out = table[0][code_bytes[:, 0]].astype(np.uint16 if most < 1 << 16 else np.uint32)
     for j in range(1, code_bytes.shape[1]):
         out += table[j][code_bytes[:, j]]
     return out
