@@ -208,21 +208,23 @@ def test_a_sort_takes_memory_by_its_limit_not_by_its_text(tmp_path):
     assert peak < 8 << 20
 
 
-def test_one_hash_with_more_strings_than_a_shard_goes_to_disk(monkeypatch):
+def test_one_key_with_more_strings_than_a_shard_goes_to_disk(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 10_000)
+    monkeypatch.setattr(suffix_dedup, "BASE", 500)
     rng = random.Random(4)
     shared = bytes(rng.choice(b"abcdef") for _ in range(210))
-    strings = [bytes(rng.choice(b"abcdef") for _ in range(90)) + shared + bytes([65 + i % 7]) for i in range(300)]
+    strings = sorted(bytes(rng.choice(b"abcdef") for _ in range(90)) + shared + bytes([65 + i % 7]) for i in range(300))
+    strings[5] = strings[4]
     shard = suffix_dedup.Shard()
     for i, x in enumerate(strings):
-        shard.add(7, i.to_bytes(16, "big"), i == 0, x)
-    assert shard.text.file is not None and len(shard.text.held) <= 20_000
+        shard.add(x[:40], 7, i.to_bytes(16, "big"), 3, i == 0, x)
+    assert shard.text.file is not None and len(shard.text.held) <= 20_000 and shard.text.size > 8 * suffix_dedup.SHARD_BYTES
     got = sorted((int.from_bytes(g, "big"), a, n) for b in shard.runs(2000) for g, a, n in zip(*(b.column(c).to_pylist() for c in ("g", "at", "n")), strict=True))
     expected, count = [], Counter(x[k : k + 200] for x in strings for k in range(len(x) - 199))
     for i, x in enumerate(strings):
-        flags = np.array([count[x[k : k + 200]] > 1 or i == 0 for k in range(len(x) - 199)])
+        flags = np.array([count[x[k : k + 200]] > 1 and i > 0 for k in range(len(x) - 199)])
         edges = np.flatnonzero(np.diff(np.r_[False, flags, False])).tolist()
-        expected += [(i, a, b - a) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        expected += [(i, 3 + a, b - a) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     assert got == expected
 
 
@@ -253,6 +255,7 @@ def test_repeated_passages(spark, monkeypatch):
         if small:
             monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 500)
             monkeypatch.setattr(suffix_dedup, "MOST", 64)
+            monkeypatch.setattr(suffix_dedup, "BASE", 50)
         got = {r.doc_id: ([tuple(x) for x in r.spans], bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
         assert got == dict(enumerate(expected))
 
