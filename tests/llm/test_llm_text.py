@@ -38,6 +38,20 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_word_ids_of_latin_words_equal_the_library():
+    enc = packing.WordEncoder(WORDS)
+    for c in map(chr, range(0x21, 0x180)):
+        for text in (c, f"{c}a", f"A{c}b{c.upper()}", f"{c}{c}1 {c}"):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_tokenizers_with_other_steps_are_refused():
+    made = json.loads(Path(WORDS).read_text(encoding="utf-8"))
+    made["normalizer"]["normalizers"] = made["normalizer"]["normalizers"][:2]
+    with pytest.raises(ValueError, match="other normalizers"):
+        packing.WordEncoder(json.dumps(made), is_json=True)
+
+
 def test_memo_keeps_two_generations():
     calls = []
     memo = packing._Memo(lambda x: calls.append(x) or x.encode(), 2)

@@ -17,7 +17,10 @@ each; null ids stay null; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -51,38 +54,60 @@ class _Memo(dict):
         return value
 
 
+def _byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable Latin-1 for itself, the others from 256 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    others = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+#: The steps before the merges that this encoder takes word by word, as tokenizer files name them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class WordEncoder:
     """The ids of whole texts by a tokenizer that never looks across a space.
 
-    Valid for vocabularies whose pre-tokenizer ends a piece at white space, as with word-end BPE: then a
-    text's ids are its words' ids in order, and each distinct word needs the tokenizers library once.
+    Its steps must be ``NORMALIZERS``, a split into ``PIECES`` and byte symbols; other files are refused. A text's ids then are its
+    words' ids in order, and each distinct word needs the tokenizers library once.
     """
 
     def __init__(self, path_or_json: str, is_json: bool = False) -> None:
         import regex
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_str(path_or_json) if is_json else Tokenizer.from_file(path_or_json)
-        self.model = self.tokenizer.model
-        self.to_symbols = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        #: Fixed value: the vocabulary's own splitting pattern.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        from tokenizers import Tokenizer
+
+        if not is_json:
+            with open(path_or_json, encoding="utf-8") as f:
+                path_or_json = f.read()
+        made = json.loads(path_or_json)
+        split, symbols = ((made["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
+        if (made["normalizer"] or {}).get("normalizers") != NORMALIZERS or split.get("pattern") != {"Regex": PIECES} or symbols.get("type") != "ByteLevel" or made["model"]["type"] != "BPE":
+            raise ValueError("a tokenizer with other normalizers or another split than this encoder's")
+        self.tokenizer = Tokenizer.from_str(path_or_json)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.symbols = _byte_symbols()
+        self.split = regex.compile(PIECES).findall
         self.pieces = _Memo(self._piece, MEMO // 2)
         self.words = _Memo(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        symbols = piece if piece.isascii() else self.to_symbols.pre_tokenize_str(piece)[0][0]
-        return np.array([x.id for x in self.model.tokenize(symbols)], "<u4").tobytes()
+        symbols = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.symbols)
+        return array("I", [x.id for x in self.tokenize(symbols)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         # Printable Latin-1 is its own normal form but for case; the rest goes through the whole tokenizer.
-        if word and (word.isascii() or max(word) <= "\xff") and word.isprintable() and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if word and (word.isascii() or max(word) <= "\xff"):
+            if word.isalpha():
+                return self._piece(word.lower())
+            if word.isprintable() and "<|" not in word:
+                return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        ids = b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+        return ids if sys.byteorder == "little" else np.frombuffer(ids, ">u4").astype("<u4").tobytes()
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
