@@ -15,11 +15,30 @@ SOME = ["It's a test, isn't it?  \n\n x", "naïve ½ 12a 日本語 𝄞 " * 50,
 
 
 def test_byte_bpe_equals_the_library():
+    assert byte_bpe.SPLITTABLE == PATTERN
     enc = byte_bpe.encoder(byte_bpe.read_ranks(RANKS), PATTERN)
-    for text in SOME:
-        assert "".join(byte_bpe.safe_pieces(text, 7)) == text
-        for size in (1, 7, 100, 1 << 16):
-            assert byte_bpe.encode_text(enc, text, size).tolist() == enc.encode_ordinary(text)
+    white = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # with 0x1C to 0x1F, which are none to the library
+    for text in [*SOME, white * 3 + "x" + white, f"a{white[:3]}!{white[::-1]}1", "x" + "\n " * 40 + "y", "\x1c \x1c  \u2003\u2003\u2003z"]:
+        for run in (2, 3, 9, 1 << 12):
+            assert "".join(x for x, _ in byte_bpe.safe_pieces(text, 7, run)) == text
+            for size in (1, 7, 100, 1 << 16):
+                assert byte_bpe.encode_text(enc, text, size, run).tolist() == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("run", [" ", "\n", " \n\t\u3000"])
+def test_byte_bpe_of_millions_of_white_space(run):
+    enc = byte_bpe.encoder(byte_bpe.read_ranks(RANKS), PATTERN)
+    many = (run * 2_000_000)[:2_000_000]
+    one = enc._encode_single_piece
+    assert byte_bpe.encode_text(enc, many).tolist() == one(many)
+    assert byte_bpe.encode_text(enc, f"a b{many}c").tolist() == enc.encode_ordinary("a b") + one(many[:-1]) + enc.encode_ordinary(many[-1] + "c")
+
+
+def test_byte_bpe_of_other_patterns_is_the_library_alone():
+    pattern = r" ?[^\s]+[\r\n]*|\s+"  # ends a match on a line feed
+    enc = byte_bpe.encoder(byte_bpe.read_ranks(RANKS), pattern)
+    text = "ab!\ncd " * 50
+    assert byte_bpe.encode_text(enc, text, 5).tolist() == enc.encode_ordinary(text)
 
 
 def test_byte_bpe_round_trip(spark, odd, none):

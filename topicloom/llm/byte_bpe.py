@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
-Long texts are split before they reach the library's regular expression, at boundaries that no match of the
-pattern can cross: between a character that is not white space and a space or line feed after it. Each
-alternative of the pattern takes white space only at its start or takes nothing else, and no alternative
-looks behind, so the pieces' matches are exactly the whole text's. Decoding returns the raw bytes.
+Long texts are split before they reach the library's regular expression, at boundaries that no match of ``SPLITTABLE`` can cross:
+between a character that is not white space and white space after it. Each alternative of that pattern takes white
+space only at its start or takes nothing else, and no alternative looks behind, so the pieces' matches are exactly the whole
+text's. A long run of white space, on which the library's expression would exhaust its stack, is one match, but for its
+last character if more text follows; it is encoded as such without the expression. With any other pattern texts go to the library
+whole. Decoding returns the raw bytes.
 
 Scale: one pass over the texts, no shuffle; the rank file (under 1 MB) goes along with the tasks, so that
 executors need no such file; a task holds a few MB of text at a time, besides the longest single text.
@@ -26,22 +28,31 @@ from pyspark.sql import types as T
 
 from topicloom.llm._common import text_slices
 
-#: Characters after which a long text is split at the next safe boundary.
-SPLIT_CHARS = 1 << 16
-_BOUNDARY = re.compile(r"\S(?=[ \n])")
+#: Characters after which a long text is split at the next safe boundary; white space in one match that goes past the expression.
+SPLIT_CHARS, RUN_CHARS = 1 << 16, 1 << 12
+#: The pattern whose texts may be split, and the white space of the library's expressions (\s).
+SPLITTABLE = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BOUNDARY = re.compile(rf"[^{WHITE}](?=[{WHITE}])")
 _ENCODERS: dict[tuple[int, str], object] = {}
 
 
-def safe_pieces(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
-    """``text`` in pieces of about ``size`` characters, cut only where no match can cross."""
+def safe_pieces(text: str, size: int = SPLIT_CHARS, run: int = RUN_CHARS) -> Iterator[tuple[str, bool]]:
+    """``text`` in pieces of about ``size`` characters, cut only where no match can cross, and whether a piece is one match."""
     start = 0
-    while len(text) - start > size:
-        found = _BOUNDARY.search(text, start + size - 1)
-        if not found:
-            break
+    for found in re.finditer(rf"[{WHITE}]{{{max(2, run)},}}+", text):
+        yield from ((x, False) for x in _cut(text, start, found.start(), size))
+        start = found.end() - (found.end() < len(text))
+        yield text[found.start() : start], True
+    yield from ((x, False) for x in _cut(text, start, len(text), size))
+
+
+def _cut(text: str, start: int, stop: int, size: int) -> Iterator[str]:
+    while stop - start > size and (found := _BOUNDARY.search(text, start + size - 1, stop)):
         yield text[start : found.end()]
         start = found.end()
-    yield text[start:]
+    if start < stop:
+        yield text[start:stop]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,9 +71,11 @@ def encoder(ranks: dict[bytes, int], pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode_text(enc, text: str, size: int = SPLIT_CHARS) -> np.ndarray:
-    found = [enc.encode_ordinary(x) for x in safe_pieces(text, size)] if len(text) > size else [enc.encode_ordinary(text)]
-    return np.concatenate([np.array(x, np.int32) for x in found]) if len(found) > 1 else np.array(found[0], np.int32)
+def encode_text(enc, text: str, size: int = SPLIT_CHARS, run: int = RUN_CHARS) -> np.ndarray:
+    if len(text) <= size or enc._pat_str != SPLITTABLE:
+        return np.array(enc.encode_ordinary(text), np.int32)
+    parts = [enc._encode_single_piece(x) if one else enc.encode_ordinary(x) for x, one in safe_pieces(text, size, run)]
+    return np.concatenate([np.array(x, np.int32) for x in parts])
 
 
 def _encoder_of(key: tuple[int, str], ranks: dict[bytes, int]):
