@@ -44,6 +44,23 @@ def test_rows_that_take_no_part(spark):
     assert ann.search(docs.where("vec_id = 20"), F.lit(True)).count() == 0
 
 
+def test_repeated_queries_sizes_and_waves(spark, monkeypatch):
+    """Each row is a query or candidate of its own, among vectors of its size, however many waves there are."""
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4 if i % 5 else 7).tolist()) for i in range(200)]
+    rows += [rows[0], rows[0], rows[20], rows[21], (40, rows[60][1])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = []
+    for at, (q, x) in enumerate(rows):
+        if q % 20 == 0:
+            own = sorted((-float(np.dot(x, y)), i) for k, (i, y) in enumerate(rows) if k != at and len(x) == len(y))[:20]
+            want += [(q, rank, i, round(-s, 9)) for rank, (s, i) in enumerate(own, 1)]
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(ann, "WAVE_BYTES", size)
+        got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in ann.search(docs, F.col("vec_id") % 20 == 0, 20).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_codes_are_four_bits_and_scans_follow_products():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 10))

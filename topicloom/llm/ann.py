@@ -7,18 +7,21 @@ centres are tables of small integers; two codes share a byte, so a scan adds one
 ``RERANK`` of each block by table score are scored exactly, in double precision, on the original vectors.
 
 Scale: centres are fitted on a bounded sample (``SAMPLE`` rows, the smallest by a hash of the id); each row is
-coded once and written in blocks of about ``BLOCK`` rows. Blocks of queries meet blocks of rows one pair at a
-time, and a pair hands on at most ``k`` rows a query, so memory is bounded whatever the table's size, and
-each block has candidates of its own: a larger table means more candidates, not fewer.
-
-Defined results: vectors that are null, all zero, or hold null or non-finite components take no part, nor do
-those of another size than most; ties go to the smaller id; repeated rows are candidates of their own, and a
-query leaves out only its own row; rows with null ids are candidates after all others and never queries; with
-fewer candidates than ``k``, all are returned; an empty table gives an empty table.
+coded once and written in blocks of about ``BLOCK`` rows. Queries go to the tasks in waves of at most ``WAVE_BYTES`` of vectors, so
+that neither rows nor queries are shuffled or copied to each other's blocks; a task keeps the best ``k`` of all its blocks for each
+query of the wave, and hands on these alone. Each block has candidates of its own: a larger table means more candidates, not
+fewer. Every query is scanned against every code, so time grows with their product.
+
+Defined results: vectors that are null, all zero, or hold null or non-finite components take no part; vectors meet those of
+their own size only; ties go to the smaller id; repeated rows are candidates of their own, a query
+leaves out only its own row, and repeated query rows have an answer each; rows with null ids are candidates after all
+others and never queries; with fewer candidates than ``k``, all are returned; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import written
+from topicloom.llm._common import shared_folder, written
 
 #: Dimensions of a subspace, rows for fitting, rounds of fitting and of coding.
 SUB, SAMPLE, FIT_ROUNDS, CODE_ROUNDS = 2, 20_000, 8, 3
@@ -34,6 +37,8 @@ SUB, SAMPLE, FIT_ROUNDS, CODE_ROUNDS = 2, 20_000, 8, 3
 THRESHOLD = 0.2
 #: Rows of a block, queries of a block, rows of a block that are scored exactly for a query.
 BLOCK, QUERY_BLOCK, RERANK = 4096, 256, 256
+#: Bytes of query vectors that tasks get at once.
+WAVE_BYTES = 32 << 20
 #: Standard deviations of the table scores' error within which a row still is scored exactly.
 DEVIATIONS = 3.0
 
@@ -171,69 +176,95 @@ def _pack(size: int, sent):
 _PACKED = "block long, ids binary, rids binary, vectors binary, codes binary"
 
 
-def _search(sent, k: int, rerank: int):
+def _nearest(x: np.ndarray, ids: np.ndarray, rids: np.ndarray, codes: np.ndarray, q: np.ndarray, q_rids: np.ndarray, centres: np.ndarray, k: int, rerank: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each query the places and scores of its ``k`` best rows of one block, whose rows are sorted by id."""
+    # Equal vectors are scanned once, so that copies do not crowd others out.
+    _, first, class_of, copies = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True, return_counts=True)
+    members = np.argsort(class_of, kind="stable")
+    starts, copies = np.cumsum(copies) - copies, np.minimum(copies, k + 1)
+    table, unit, zero = tables(q, centres)
+    scores = scan(codes[first], table).T.copy()
+    for i in range(len(q)):
+        some = best(scores[i], max(rerank, k + 1))
+        if len(some) < len(first):
+            # Where scores are crowded, all rows that the error seen so far could lift among the best.
+            exact, guess = x[first[some]] @ q[i], scores[i] * unit[i] + zero[i]
+            error = exact - guess[some]
+            least = np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
+            some = np.union1d(some, np.flatnonzero(guess + DEVIATIONS * np.sqrt((error**2).mean()) >= least))
+        each = copies[some]
+        at = members[np.repeat(starts[some] - np.cumsum(each) + each, each) + np.arange(each.sum())]
+        at = at[rids[at] != q_rids[i]]
+        exact = x[at] @ q[i]
+        top = np.lexsort((rids[at], ids[at], -exact))[:k]
+        yield at[top], exact[top]
+
+
+_FOUND = "q_rid long, query_id long, vec_id long, rid long, score double"
+
+
+def _search(sent, wave, k: int, rerank: int):
+    """The ``k`` best of a task's blocks for each query of the wave."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = sent.value
+        asked = [(np.frombuffer(i, np.int64), np.frombuffer(r, np.int64), np.frombuffer(v, np.float64).reshape(len(i) // 8, -1)) for i, r, v in wave.value]
+        held: list[list] = [[(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))] * len(ids) for ids, _, _ in asked]
         for batch in batches:
             for row in range(batch.num_rows):
-                get = lambda name, kind, r=row, b=batch: np.frombuffer(b.column(name)[r].as_py(), kind)
-                ids, rids, q_ids, q_rids = (get(n, np.int64) for n in ("ids", "rids", "q_ids", "q_rids"))
-                x, q = get("vectors", np.float64).reshape(len(ids), -1), get("q_vectors", np.float64).reshape(len(q_ids), -1)
-                # Equal vectors are scanned once, so that copies do not crowd others out; rows are sorted by id.
-                _, first, class_of, copies = np.unique(x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0], return_index=True, return_inverse=True, return_counts=True)
-                members = np.argsort(class_of, kind="stable")
-                starts, copies = np.cumsum(copies) - copies, np.minimum(copies, k + 1)
-                table, unit, zero = tables(q, centres)
-                scores = scan(get("codes", np.uint8).reshape(len(ids), -1)[first], table).T.copy()
-                found: list[list[np.ndarray]] = [[], [], []]
-                for i in range(len(q_ids)):
-                    some = best(scores[i], max(rerank, k + 1))
-                    if len(some) < len(first):
-                        # Where scores are crowded, all rows that the error seen so far could lift among the best.
-                        exact, guess = x[first[some]] @ q[i], scores[i] * unit[i] + zero[i]
-                        error = exact - guess[some]
-                        least = np.partition(exact, len(exact) - k - 1)[len(exact) - k - 1]
-                        some = np.union1d(some, np.flatnonzero(guess + DEVIATIONS * np.sqrt((error**2).mean()) >= least))
-                    each = copies[some]
-                    at = members[np.repeat(starts[some] - np.cumsum(each) + each, each) + np.arange(each.sum())]
-                    at = at[rids[at] != q_rids[i]]
-                    exact = x[at] @ q[i]
-                    top = np.lexsort((rids[at], ids[at], -exact))[:k]
-                    for out, y in zip(found, (np.full(len(top), q_ids[i]), ids[at][top], exact[top]), strict=True):
-                        out.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in found], names=["query_id", "vec_id", "score"])
+                ids, rids, x, codes = (np.frombuffer(batch.column(n)[row].as_py(), t) for n, t in (("ids", np.int64), ("rids", np.int64), ("vectors", np.float64), ("codes", np.uint8)))
+                x, codes = x.reshape(len(ids), -1), codes.reshape(len(ids), -1)
+                for (_, q_rids, q), own in zip(asked, held, strict=True):
+                    for i, (at, score) in enumerate(_nearest(x, ids, rids, codes, q, q_rids, centres, k, rerank)):
+                        both = [np.concatenate(z) for z in zip(own[i], (ids[at], rids[at], score), strict=True)]
+                        top = np.lexsort((both[1], both[0], -both[2]))[:k]
+                        own[i] = tuple(z[top] for z in both)
+        for (ids, q_rids, _), own in zip(asked, held, strict=True):
+            sizes = [len(z[0]) for z in own]
+            columns = [np.repeat(q_rids, sizes), np.repeat(ids, sizes), *(np.concatenate(z) for z in zip(*own, strict=True))]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in columns], names=["q_rid", "query_id", "vec_id", "rid", "score"])
 
     return run
 
 
+def _searched(rows: DataFrame, size: int, n: int, path: str, k: int, rerank: int, sample: int) -> None:
+    """Append the answers among the ``n`` rows whose vectors have this size to the table at ``path``."""
+    spark = rows.sparkSession
+    rows = rows.where(F.size("v") == size)
+    some = rows.orderBy(F.xxhash64("id", "rid"), "rid").limit(sample).select("v").toPandas()  # at most `sample` rows
+    sent = spark.sparkContext.broadcast(fit(np.array(some["v"].tolist())))  # 16 centres a subspace
+    blocks = max(1, -(-n // BLOCK))
+    by_block = rows.select(F.pmod(F.xxhash64("id", "rid"), F.lit(blocks)).alias("block"), "id", "rid", "v").repartitionByRange(blocks, "block").sortWithinPartitions("block")
+    data = written(by_block.mapInArrow(_pack(2 * BLOCK, sent), _PACKED), "blocks").select("ids", "rids", "vectors", "codes")
+    queries = rows.where("q")
+    waves = -(-queries.count() * size * 8 // WAVE_BYTES)
+    asked = queries.select(F.pmod(F.xxhash64(F.lit(1), "id", "rid"), F.lit(max(1, waves))).alias("block"), "id", "rid", "v").repartitionByRange(max(1, waves), "block").sortWithinPartitions("block")
+    asked = written(asked.mapInArrow(_pack(QUERY_BLOCK, None), _PACKED), "queries")
+    for wave in range(waves):
+        got = [(bytes(r.ids), bytes(r.rids), bytes(r.vectors)) for r in asked.where(F.col("block") == wave).select("ids", "rids", "vectors").collect()]  # about WAVE_BYTES
+        part = spark.sparkContext.broadcast(got)
+        found = data.mapInArrow(_search(sent, part, k, rerank), _FOUND)
+        rank = F.row_number().over(Window.partitionBy("q_rid").orderBy(F.desc("score"), "vec_id", "rid"))
+        found.withColumn("rank", rank).where(F.col("rank") <= k).write.mode("append").parquet(path)
+        part.unpersist()
+
+
 def search(vectors: DataFrame, queries_where: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` rows with the largest inner products for each row of ``vectors`` with ``queries_where``.
 
     Returns query_id, rank (from 1), vec_id, score.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries_where, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("rid"))
     rows = written(rows.where(usable(F.col("v"))), "vectors")
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.where(F.size("v") == sizes[0]["d"])
-    n = rows.count()
     # A null id sorts after all others; it comes back as null.
     last = (1 << 63) - 1
     rows = rows.withColumn("q", F.col("q") & F.col("id").isNotNull()).withColumn("id", F.coalesce("id", F.lit(last)))
-    some = rows.orderBy(F.xxhash64("id", "rid"), "rid").limit(sample).select("v").toPandas()  # at most `sample` rows
-    sent = spark.sparkContext.broadcast(fit(np.array(some["v"].tolist())))  # 16 centres a subspace
-    blocks = max(1, -(-n // BLOCK))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "rid"), F.lit(blocks)))
-    by_block = dealt.select("block", "id", "rid", "v").repartitionByRange(blocks, "block").sortWithinPartitions("block")
-    data = written(by_block.mapInArrow(_pack(2 * BLOCK, sent), _PACKED), "blocks")
-    asked = rows.where("q").select(F.lit(0).cast("long").alias("block"), "id", "rid", "v").repartitionByRange(max(1, blocks // 8), "id", "rid")
-    asked = written(asked.mapInArrow(_pack(QUERY_BLOCK, None), _PACKED), "queries")
-    asked = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.col("ids").alias("q_ids"), F.col("rids").alias("q_rids"), F.col("vectors").alias("q_vectors"))
-    pairs = asked.join(data, "block").select("ids", "rids", "vectors", "codes", "q_ids", "q_rids", "q_vectors")
-    found = pairs.mapInArrow(_search(sent, k, rerank), schema)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= k)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score")
+    schema = f"{_FOUND}, rank int"
+    path = f"{shared_folder(spark)}/nearest-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("q").alias("asked")).where("asked and n > 1").orderBy("d")
+    for size in sizes.collect():  # one search for each size of vectors
+        _searched(rows, size["d"], size["n"], path, k, rerank, sample)
+    found = spark.read.schema(schema).parquet(path)
+    return found.select("query_id", "rank", F.when(F.col("vec_id") != last, F.col("vec_id")).alias("vec_id"), "score")
