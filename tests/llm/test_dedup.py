@@ -67,6 +67,17 @@ def test_boilerplate_lines(spark):
     assert found == {("s", "footer", 20, 22), ("t", "footer", 10, 10)}
 
 
+def test_lines_on_one_page_and_lines_of_white_space_stay(spark):
+    rows = [(0, "a", "only page\nonly line"), (1, "b", "x1\n\t\nboth"), (2, "b", "x2\n\t\nboth"), (3, "b", "x3\n \x0b"), (3, "b", "x3\n \x0b")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    docs = docs.withColumn("lines_total", F.lit(7)).withColumn("host", F.lit("h")).withColumn("Boilerplate", F.lit("b")).withColumn("kept", F.lit("k"))
+    got = line_dedup.drop_boilerplate(docs)
+    assert got.columns == ["doc_id", "source", "text", "host", "Boilerplate", "kept", "lines_total", "lines_dropped"]
+    assert sorted((r.doc_id, r.text, r.lines_total, r.lines_dropped, r.kept) for r in got.collect()) == [
+        (0, "only page\nonly line", 2, 0, "k"), (1, "x1\n\t", 3, 1, "k"), (2, "x2\n\t", 3, 1, "k"), (3, " \x0b", 2, 1, "k"), (3, " \x0b", 2, 1, "k"),
+    ]
+
+
 def test_lines_of_odd_rows(spark, odd):
     got = line_dedup.drop_boilerplate(odd, ratio=0.1)
     assert got.count() == odd.count() and set(odd.columns) < set(got.columns)

@@ -55,6 +55,14 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], row_bytes: int,
     return own.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (names are compared without case, as Spark does)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def levels(n: int) -> int:
     """Halvings after which ``n`` items are one."""
     return max(0, math.ceil(math.log2(n))) if n > 1 else 0

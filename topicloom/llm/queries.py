@@ -104,10 +104,10 @@ with pages as (select row_number() over () as rid, doc_id, source, string_split(
 totals as (select source, count(*) as host_pages from pages group by source),
 counted as (
   select source, line, count(*) as pages
-  from (select distinct rid, source, line from (select rid, source, unnest(lines) as line from pages)) where trim(line) <> '' group by source, line),
+  from (select distinct rid, source, line from (select rid, source, unnest(lines) as line from pages)) where regexp_matches(line, '[^\x20\x09-\x0D]') group by source, line),
 boiler as (
   select c.source, list(c.line) as dropped from counted c join totals t on c.source is not distinct from t.source
-  where c.pages >= 3 and c.pages > 0.1::double * t.host_pages group by c.source),
+  where c.pages > 1 and c.pages > 0.075::double * t.host_pages group by c.source),
 kept as (
   select p.doc_id, p.lines, case when b.dropped is null then p.lines else list_filter(p.lines, lambda x: not list_contains(b.dropped, x)) end as kept
   from pages p left join boiler b on p.source is not distinct from b.source)
