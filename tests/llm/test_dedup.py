@@ -54,6 +54,22 @@ def test_kept_rows_have_all_columns(spark, odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 6]
 
 
+def test_one_of_repeated_rows_is_kept(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "c"), (None, "a b"), (None, "d"), (None, "d"), (2, "c"), (3, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(5)).repartition(3)
+    got = exact_dedup.drop_exact_duplicates(docs)
+    assert got.columns == docs.columns and sorted(str((r.doc_id, " ".join((r.text or "").split()))) for r in got.collect()) == ["(1, 'a b')", "(1, 'c')", "(3, '')", "(None, 'd')"]
+
+
+def test_groups_too_many_to_broadcast_and_hot_ones(spark, monkeypatch):
+    texts = [f"t{i % 40}" for i in range(80)] + ["hot"] * 200 + ["alone"]
+    real = exact_dedup.join_hot
+    monkeypatch.setattr(exact_dedup, "join_hot", lambda *x: real(*x, limit_bytes=40))
+    got = exact_dedup.exact_duplicates(frame(spark, texts)).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == exact(list(enumerate(texts)))
+    assert sum(r.kept for r in got) == 42
+
+
 # Lines.
 
 

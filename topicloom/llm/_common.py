@@ -41,18 +41,18 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit_bytes: int = 32 << 2
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Inner join of ``rows`` to the written ``table``, which has each key once.
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], row_bytes: int, how: str = "inner", limit_bytes: int = 32 << 20) -> DataFrame:
+    """Join (inner or left) of ``rows`` to the written ``table``, which has each key once.
 
     A small table is broadcast. Beyond that, keys with a large share of the rows (there are at most four times as many of them as
     partitions) are broadcast, so that no task has all rows of one, and the others are shuffled.
     """
     if table.limit((most := limit_bytes // max(1, row_bytes)) + 1).count() <= most:
-        return rows.join(F.broadcast(table), keys)
+        return rows.join(F.broadcast(table), keys, how)
     least = rows.count() // (4 * width(rows.sparkSession)) + 1
     hot = written(rows.groupBy(*keys).count().where(F.col("count") >= least).drop("count"), "hot")
-    own = rows.join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys)
-    return own.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
+    own = rows.join(F.broadcast(hot), keys, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return own.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys, how))
 
 
 def fresh(columns: list[str], name: str) -> str:

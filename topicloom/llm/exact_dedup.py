@@ -8,7 +8,8 @@ ranks of contents, not digests: two documents have the same identity (level, nam
 Scale: a naming pass is one range exchange on (hash, row) - a block that a third of all rows hold spreads
 over many partitions - and a sort that spills. A name that goes on over a partition's border is joined to
 the one before by comparing the borders' contents, one row a partition. The number of passes is the
-logarithm of the longest document's number of blocks, and each pass halves its input.
+logarithm of the longest document's number of blocks, and each pass halves its input. Groups of several rows meet their rows by
+broadcast where they are few (checked) or hold a large share of all rows, else by a shuffle; rows without copies need no group.
 
 Defined results: a null text counts as empty; rows with a null ``doc_id`` are kept as rows (they stay only
 if their whole group has null ids); repeated rows are rows of their own, and one row of a group stays;
@@ -19,13 +20,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import levels, width, written
+from topicloom.llm._common import fresh, join_hot, levels, width, written
 
 #: Bytes of a block. Sorting moves whole blocks, so they also are the largest sort key.
 BLOCK_BYTES = 4096
@@ -50,24 +52,17 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        kb, h = batch.column("kb"), batch.column("h")
-        new = [True] * batch.num_rows
-        if batch.num_rows > 1:
-            new[1:] = pc.not_equal(kb.slice(1), kb.slice(0, batch.num_rows - 1)).to_pylist()
-        new[0] = n == 0 or kb[0].as_py() != last
+        kb, h, size = batch.column("kb"), batch.column("h").to_numpy(), batch.num_rows
+        new = np.r_[n == 0 or kb[0].as_py() != last, pc.not_equal(kb.slice(1), kb.slice(0, size - 1)).to_numpy(zero_copy_only=False)].astype(bool)
         if n == 0:
-            first, first_h = kb[0].as_py(), h[0].as_py()
-        ranks, hs = [], h.to_pylist()
-        for is_new, hash_ in zip(new, hs, strict=True):
-            if is_new:
-                rank += 1
-                last_many = n > 0 and hash_ == last_h
-                first_many |= last_many and hash_ == first_h
-            last_h = hash_
-            n += 1
-            ranks.append(rank)
-        last = kb[batch.num_rows - 1].as_py()
-        size = batch.num_rows
+            first, first_h = kb[0].as_py(), int(h[0])
+        # Another content of the same hash: the borders must not fall among such rows.
+        many = new & np.r_[n > 0 and h[0] == last_h, h[1:] == h[:-1]]
+        first_many |= bool((many & (h == first_h)).any())
+        if new.any():
+            last_many = bool(many[np.flatnonzero(new)[-1]])
+        ranks = rank + np.cumsum(new)
+        rank, n, last, last_h = int(ranks[-1]), n + size, kb[size - 1].as_py(), int(h[-1])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("rid"), batch.column("idx"), batch.column("nb"), batch.column("doc_id"), batch.column("digest"),
@@ -123,9 +118,10 @@ def name_blocks(blocks: DataFrame, level: int = 0) -> DataFrame:
     raise RuntimeError("no seed keeps different blocks of one hash off the partitions' borders")
 
 
-def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def document_identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, rid: Column | None = None) -> DataFrame:
     """(rid, doc_id, digest, level, name): rows whose normalised texts are equal, and no others, share (level, name)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+    rid = F.monotonically_increasing_id() if rid is None else rid
+    rows = docs.select(rid.alias("rid"), F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("t"))
     rows = rows.select("rid", "doc_id", F.sha2(F.col("t").cast("binary"), 256).alias("digest"), F.col("t").cast("binary").alias("b"))
     rows = rows.withColumn("nb", F.greatest(F.lit(1), F.ceil(F.length("b") / block_bytes)).cast("long"))
     blocks = rows.select("rid", "doc_id", "digest", "nb", F.posexplode(F.expr(f"transform(sequence(0L, nb - 1), i -> substring(b, cast(i * {block_bytes} + 1 as int), {block_bytes}))")).alias("idx", "kb"))
@@ -152,14 +148,30 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Of each group of equal texts the row with the smallest id stays (ties: one of the repeated rows).
     """
-    docs_ = document_identities(docs, id_col, text_col, block_bytes)
+    return _duplicates(document_identities(docs, id_col, text_col, block_bytes)).drop("rid")
+
+
+def _duplicates(identities: DataFrame) -> DataFrame:
+    rows = written(identities, "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("f")
-    groups = docs_.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first)
-    groups = groups.select("level", "name", "group_size", F.col("f.doc_id").alias("keep_id"), F.col("f.rid").alias("keep_rid"))
-    return docs_.join(groups, ["level", "name"]).select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("digest").alias("text_sha256"))
+    groups = rows.groupBy("level", "name").agg(F.count(F.lit(1)).alias("group_size"), first).where("group_size > 1")
+    groups = written(groups.select("level", "name", "group_size", F.col("f.doc_id").alias("keep_id"), F.col("f.rid").alias("keep_rid")), "groups")
+    joined = join_hot(rows, groups, ["level", "name"], 40, "left")
+    alone = F.col("group_size").isNull()
+    keep_id = F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id")
+    kept = (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept")
+    return joined.select("rid", "doc_id", keep_id, F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), kept, F.col("digest").alias("text_sha256"))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Ids must tell rows apart."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Only where ids are repeated or null does the choice need row numbers, and a numbered copy of ``docs`` that holds them.
+    """
+    name = fresh(docs.columns, "row")
+    if not docs.groupBy(id_col).count().where("count > 1").limit(1).count():
+        kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name))
+        return docs.join(kept, docs[id_col].eqNullSafe(F.col(name)), "left_semi")
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    found = _duplicates(document_identities(numbered, id_col, text_col, BLOCK_BYTES, F.col(name)))
+    return numbered.join(found.where("kept").select(F.col("rid").alias(name)), name, "left_semi").select(*docs.columns)
