@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for tables in _SCOPES:
+        tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+_SCOPES: list[list[str]] = []
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that no plan reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, keep: list[DataFrame]) -> Iterator[None]:
+    """Tables that are written within are deleted at the end, but for those in ``keep`` by then."""
+    _SCOPES.append(tables := [])
+    try:
+        yield
+    finally:
+        _SCOPES[:] = [x for x in _SCOPES if x is not tables]
+        left = {getattr(df, "written_to", None) for df in keep}
+        delete(spark, [path for path in tables if path not in left])
 
 
 def width(spark: SparkSession) -> int:

@@ -18,7 +18,8 @@ of pairs, and no link between classes is lost: each pair left out is linked alre
 Scale: prefix entries (one less the threshold, of the n-grams) are shuffled once; texts are read three times; whole sets
 are made only for members of surviving lists. The table of frequent n-grams that goes to the tasks has at
 most (mean set size) / FREQUENT entries. Lists of frequent n-grams are dealt over pairs of salts, of about
-``CELL`` members each.
+``CELL`` members each; any list that still has more than twice as many is cut by size into cells of ``CELL`` members, and each pair
+of cells whose sizes are in reach is a list of its own, so that no task compares the pairs of a long list alone.
 
 Defined results: null or blank texts have an empty set (size 0) and link with nothing; texts with fewer words
 than n have one n-gram, the whole sequence; rows with null ids take part, and a component's id is its least
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.llm._common import broadcast_if_small, text_slices, width, written
+from topicloom.llm._common import broadcast_if_small, delete, fresh, text_slices, width, written
 from topicloom.llm.components import components
 
 #: Words of an n-gram, and the threshold as a ratio of whole numbers.
@@ -184,7 +185,7 @@ def _walk(n: np.ndarray, pos: np.ndarray, num: int, den: int, block: int = 64) -
             b = slice(j, j + block)
             if num * n[j] > den * n[a][-1]:  # this and all later blocks are too large
                 break
-            if rest[b].max() < num * n[j] / den:
+            if rest[b].max() < num * n[j] / den or (alive[a].all() and alive[b].all()):
                 continue
             fits = np.minimum.outer(rest[a], rest[b]) >= _needed(n[a][:, None], n[b][None, :], num, den)
             if i == j:
@@ -194,6 +195,21 @@ def _walk(n: np.ndarray, pos: np.ndarray, num: int, den: int, block: int = 64) -
     return alive
 
 
+def _cells(found: np.ndarray, n: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """The members of a list, and of a long one each pair of its cells whose sizes are in reach; members come by size."""
+    if len(found) <= 2 * CELL:
+        yield np.sort(found)
+        return
+    for i in range(0, len(found), CELL):
+        own = found[i : i + CELL]
+        # The cell's own pairs come with the next cell's, if that is in reach.
+        later = [j for j in range(i + CELL, len(found), CELL) if num * n[j] <= den * n[i + len(own) - 1]]
+        for j in later:
+            yield np.sort(np.concatenate([own, found[j : j + CELL]]))
+        if not later:
+            yield np.sort(own)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[pa.RecordBatch]]:
     """Runs of equal ``key`` in sorted rows."""
     held: list[pa.RecordBatch] = []
@@ -253,18 +269,20 @@ def _lists(num: int, den: int):
                 small, large = (0, 1) if n[0] <= n[1] else (1, 0)
                 if num * n[large] > den * n[small] or min(n[0] - pos[0], n[1] - pos[1]) < _needed(int(n[0]), int(n[1]), num, den):
                     continue
-                found = np.sort(rep)
+                found = rep
             else:
-                found = np.sort(rep[_walk(n.astype(np.int64), pos.astype(np.int64), num, den)])
-            if len(found) < 2 or (code := found.tobytes() if len(found) < 64 else hashlib.blake2b(found, digest_size=16).digest()) in seen:
-                continue
-            if len(seen) < 200_000:
-                seen.add(code)
-            members.append(found)
-            total += len(found)
-            if total >= 200_000:
-                yield out()
-                members, total = [], 0
+                alive = _walk(n.astype(np.int64), pos.astype(np.int64), num, den)
+                found, n = rep[alive], n[alive]
+            for cell in _cells(found, n.astype(np.int64), num, den):
+                if len(cell) < 2 or (code := cell.tobytes() if len(cell) < 64 else hashlib.blake2b(cell, digest_size=16).digest()) in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(code)
+                members.append(cell)
+                total += len(cell)
+                if total >= 200_000:
+                    yield out()
+                    members, total = [], 0
         if members:
             yield out()
 
@@ -395,7 +413,9 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, numerat
     sent = spark.sparkContext.broadcast(_frequent(rows.select("text"), words))
     own = written(numbered.mapInArrow(_summaries(sent, words, num, den), "rid long, doc_id long, n long, digest binary, bitmap binary, prefix array<long>"), "sets")
     classes = own.where("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bitmap").alias("bitmap"), F.first("prefix").alias("prefix"))
-    classes = written(classes, "classes")
+    classes, heavy = written(classes, "classes"), own
+    own = written(own.select("rid", "doc_id", "n", "digest"), "rows")
+    delete(spark, [heavy.written_to])
 
     entries = classes.select("rep", "n", "prefix").mapInArrow(_entries(sent), "key long, rep long, n int, pos int")
     lists = entries.repartition(width(spark), "key").sortWithinPartitions("key", "n").mapInArrow(_lists(num, den), "members array<long>")
@@ -435,14 +455,14 @@ def _components(docs: DataFrame, id_col: str, text_col: str, words: int, numerat
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of the rows of each component the first by id (null ids last), and all rows without n-grams.
 
-    Only where ids are repeated does the choice need row numbers, and a numbered copy of ``docs`` that holds them; the name
-    ``__rid`` is reserved.
+    Only where ids are repeated does the choice need row numbers, and a numbered copy of ``docs`` that holds them.
     """
+    name = fresh(docs.columns, "row")
     if not docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-        kept = similar_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"))
-        return docs.join(kept, docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
-    numbered = written(docs.withColumn("__rid", F.monotonically_increasing_id()), "numbered")
-    found = written(_components(numbered, id_col, text_col, WORDS, NUMERATOR, DENOMINATOR, F.col("__rid")).select("rid", "root", "doc_id", "n_shingles"), "components")
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias("__rid"))
-    kept = first.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias("__rid")))
-    return numbered.join(kept, "__rid", "left_semi").select(*docs.columns)
+        kept = similar_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+        return docs.join(kept, docs[id_col].eqNullSafe(F.col(name)), "left_semi")
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    found = written(_components(numbered, id_col, text_col, WORDS, NUMERATOR, DENOMINATOR, F.col(name)).select("rid", "root", "doc_id", "n_shingles"), "components")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("f")).select(F.col("f.rid").alias(name))
+    kept = first.unionByName(found.where("n_shingles = 0").select(F.col("rid").alias(name)))
+    return numbered.join(kept, name, "left_semi").select(*docs.columns)
