@@ -1,17 +1,19 @@
 """Quality classifier by compression: dictionaries of good and of bad text.
 
 Two zstandard dictionaries are built from good and bad labelled texts. A text is compressed with either, in
-blocks, so that a long text keeps using the dictionary rather than its own past. The features are the
-difference of the two sizes over their sum, and each size over the text's length; a logistic curve fitted on
-labelled texts that no dictionary has seen turns them into a probability.
+blocks, so that a long text keeps using the dictionary rather than its own past. The first feature is the difference of the
+two sizes over their sum, the others are either size over the text's length; a logistic curve fitted on labelled texts that no
+dictionary has seen turns them into a probability.
 
-Scale: fitting takes a bounded sample of labelled rows (``SAMPLE`` a class, the smallest by a hash of the
-id, and of each text at most ``BLOCKS`` evenly spaced blocks for the dictionaries); scoring is one pass over
-whole texts without a shuffle. What the driver holds is bounded by these parameters.
+Scale: fitting takes a bounded sample of labelled rows (``SAMPLE`` a class, the smallest by a hash of the id). Their whole texts are cut
+into blocks, of which the ``BLOCKS`` smallest of each class by a hash of id and place train its dictionary: a block's chance
+does not depend on its place or its text's length. Scoring is one pass over whole texts without a shuffle. What the driver
+holds is bounded by these parameters.
 
 Defined results: a null text counts as empty and an empty text gets the score of its features (sizes of
-nothing); labels other than 0 and 1, and labels of ids that no row has, are ignored; with labels of one
-class only, or none, each score is that class's share (0.5 without labels); repeated rows are scored each.
+nothing); labels other than 0 and 1, labels of ids that no row has, and ids with both labels are ignored; with labels of one
+class only, or none, each score is that class's share (0.5 without labels); repeated rows are scored each; an empty table gives an empty
+table; other columns pass through, except score and predicted, which give way to the results.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 
 from topicloom.llm._common import text_slices, written
 
-#: Labelled rows of each class for fitting, blocks a text for the dictionaries, bytes of a block and a dictionary.
-SAMPLE, BLOCKS, BLOCK_BYTES, DICT_BYTES, LEVEL = 3000, 4, 2048, 64 << 10, 3
+#: Labelled rows and blocks of each class for fitting, bytes of a block and a dictionary, compression level.
+SAMPLE, BLOCKS, BLOCK_BYTES, DICT_BYTES, LEVEL = 3000, 8000, 2048, 64 << 10, 3
 #: Parts in ten of the sample that go to the dictionaries; the others calibrate.
 DICT_TENTHS = 6
 
@@ -80,7 +82,7 @@ def _dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes, bo
     try:
         return (*(zstd.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, x)) // 4)), x, level=LEVEL).as_bytes() for x in (good, bad)), False)
     except zstd.ZstdError:
-        return b"".join(good)[-DICT_BYTES:], b"".join(bad)[-DICT_BYTES:], True
+        return b"".join(good), b"".join(bad), True
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
@@ -104,33 +106,34 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 60
     return w
 
 
-def _features_of(model: QualityModel, text_col: str, extra: list[str]):
+def _features(texts: pa.Array, model: QualityModel) -> np.ndarray:
+    return np.array([features((x.as_py() or "").encode("utf-8"), model) for x in texts], float).reshape(-1, 3)
+
+
+def _features_of(model: QualityModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, text_col):
-                rows = np.array([features((x.as_py() or "").encode("utf-8"), model) for x in part.column(text_col)]).reshape(-1, 3)
-                columns = {n: part.column(n) for n in extra}
-                columns["features"] = pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), 3).cast(pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_pydict(columns)
+            for part in text_slices(batch, "text"):
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(_features(part.column("text"), model).ravel()), 3).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column("order"), part.column("label"), rows], names=["order", "label", "features"])
 
     return run
 
 
-def _spaced_blocks(text: bytes) -> list[bytes]:
-    n = -(-len(text) // BLOCK_BYTES)
-    at = range(n) if n <= BLOCKS else [round(k * (n - 1) / (BLOCKS - 1)) for k in range(BLOCKS)]
-    return [text[k * BLOCK_BYTES : (k + 1) * BLOCK_BYTES] for k in at]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        blocks = [_spaced_blocks((x.as_py() or "").encode("utf-8")) for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("label"), pa.array(blocks, pa.list_(pa.binary()))], names=["order", "label", "blocks"])
+        for part in text_slices(batch, "text"):
+            for order, label, text in zip(part.column("order").to_pylist(), part.column("label").to_pylist(), part.column("text"), strict=True):
+                data = (text.as_py() or "").encode("utf-8")
+                blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
+                n = len(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array([order] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([label] * n, pa.int32()), pa.array(blocks, pa.binary())], names=["order", "place", "label", "block"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> QualityModel:
     """Fit on at most ``sample`` labelled rows of each class; ``labels`` has ids and 0/1 labels, training rows only."""
-    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)").dropDuplicates(["id"])
+    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    own = own.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
     own = own.withColumn("order", F.xxhash64(F.lit(7), "id"))
     bounded = own.where("label = 1").orderBy("order", "id").limit(sample).unionByName(own.where("label = 0").orderBy("order", "id").limit(sample))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -140,12 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return QualityModel(b"", b"", True, prior=float(next(iter(counts), 0.5)))
     tenth = F.pmod("order", F.lit(10)) < DICT_TENTHS
-    blocks: dict[int, list[bytes]] = {0: [], 1: []}
-    got = rows.where(tenth).mapInArrow(_blocks, "order long, label int, blocks array<binary>").orderBy("order").limit(2 * sample).collect()
-    for x in got:  # at most 2 * sample * BLOCKS * BLOCK_BYTES bytes
-        blocks[x["label"]] += [bytes(b) for b in x["blocks"] if b]
+    each = rows.where(tenth).mapInArrow(_blocks, "order long, place int, label int, block binary").withColumn("by", F.xxhash64(F.lit(11), "order", "place"))
+    blocks = {}
+    for label in (0, 1):
+        got = each.where(F.col("label") == label).orderBy("by", "order", "place").limit(BLOCKS).select("block").collect()
+        blocks[label] = [bytes(x["block"]) for x in got]  # at most BLOCKS * BLOCK_BYTES bytes
     model = QualityModel(*_dictionaries(blocks[1], blocks[0]))
-    seen = rows.mapInArrow(_features_of(model, "text", ["order", "label"]), "order long, label int, features array<double>")
+    seen = rows.mapInArrow(_features_of(model), "order long, label int, features array<double>")
     unseen = seen.where(~tenth).orderBy("order").limit(2 * sample).toPandas()
     if unseen["label"].nunique() < 2:  # too few rows to keep some apart
         unseen = seen.orderBy("order").limit(2 * sample).toPandas()
@@ -162,8 +166,8 @@ def _score(sent, text_col: str, keep: list[str]):
             for part in text_slices(batch, text_col):
                 columns = {n: part.column(n) for n in keep}
                 if model.weights:
-                    x = np.array([features((t.as_py() or "").encode("utf-8"), model) for t in part.column(text_col)]).reshape(-1, 3)
-                    z = np.c_[np.ones(len(x)), (x - model.mean) / model.scale] @ np.array(model.weights)
+                    x = (_features(part.column(text_col), model) - model.mean) / model.scale
+                    z = np.c_[np.ones(len(x)), x] @ np.array(model.weights)
                     scores = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 else:
                     scores = np.full(part.num_rows, model.prior)
