@@ -9,9 +9,11 @@ Scale: one pass over the pages, no shuffle; a task holds a few MB of pages. Both
 renderer keep their own stacks, so that depth is bounded by memory only, and take time in proportion to the page.
 
 Defined results: null or empty HTML gives an empty text; unclosed tags, comments and quotes end with the page;
-stray end tags are ignored; of style sheets only rules with a simple selector (one tag, class or id; any of a list) hide, at top level or in
-@media blocks for all media or screens without further conditions - compound selectors and all other at-rules hide nothing,
-so that text is rather kept; repeated rows are rendered each; an empty table gives an empty table; other
+stray end tags are ignored; style sheets count by the cascade for display and visibility (importance, inline styles, specificity, order),
+at top level or in @media blocks for all media or screens without further conditions; selectors may join tags, classes and
+ids, and chain them as descendants or children - all others and all other at-rules hide nothing, so that text is rather
+kept; visibility is inherited, so that a visible part of a hidden one is shown; cells span at most 1000 columns, as the
+standard has it; repeated rows are rendered each; an empty table gives an empty table; other
 columns pass through, except the output name.
 """
 
@@ -20,8 +22,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,9 +34,9 @@ from topicloom.llm._common import text_slices
 #: Names of HTML elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript title datalist noframes noembed iframe object audio video canvas svg math select".split())
+HIDDEN = frozenset("head script style template noscript title datalist noframes noembed iframe object audio video canvas".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
-BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form fieldset legend figcaption details summary dt dd li center tr caption dialog menu hgroup".split())
+BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form fieldset legend figcaption details summary dt dd li center tr caption dialog menu hgroup select option optgroup".split())
 #: A start tag ends open elements of these names, looked for up to the named borders.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -48,23 +50,26 @@ CLOSES = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
 }
 CLOSES["tbody"] = CLOSES["tfoot"] = CLOSES["thead"]
+#: Fixed value: columns that a cell may span.
+SPAN = 1000
 #: A block's start tag ends an open paragraph, unless one of these stands between.
 P_BORDERS = frozenset("button td th caption table object applet marquee".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+)|["'])*+)(>|\Z)""")
 _ATTRIBUTE = re.compile(r"""([^\s/=>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+_STYLE = re.compile(r"^\s*(display|visibility)\s*:\s*([a-z-]+)\b[^!]*+(!\s*important)?", re.I)
 _CSS = re.compile(r"""/\*(?:.*?\*/|.*)|"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[{};]""", re.S)
 _MEDIA = re.compile(r"@media\b(.*)", re.I | re.S)
-_SIMPLE = re.compile(r"(?:[a-z][a-z0-9]*|[.#][\w-]+)$", re.I)
+_COMPOUND = re.compile(r"(\*|[a-z][a-z0-9-]*+)?((?:[.#][\w-]++)*+)$", re.I)
+_CHAIN = re.compile(r"\s*(>)\s*|\s+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "hidden", "tag")
+    __slots__ = ("attributes", "children", "parent", "tag", "visible")
 
-    def __init__(self, tag: str, attributes: dict[str, str]) -> None:
-        self.tag, self.attributes, self.children, self.hidden = tag, attributes, [], False
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None) -> None:
+        self.tag, self.attributes, self.parent, self.children, self.visible = tag, attributes, parent, [], True
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -81,45 +86,129 @@ def _on_screens(prelude: str) -> bool:
     return bool(m) and any(x.strip().lower() in ("", "all", "screen", "only screen", "only all") for x in m[1].split(","))
 
 
-def hiding_selectors(sheet: str) -> set[str]:
-    """The simple selectors of the rules that hide, read with their nesting."""
-    out: set[str] = set()
-    text: list[str] = []  # since the last brace or semicolon
-    blocks: list[tuple[str, bool]] = []  # open blocks: their preludes, whether rules in them count
-    declared: list[list[str]] = []
-    at = 0
-
-    def end(prelude: str, counts: bool, body: list[str]) -> None:
-        if counts and not prelude.startswith("@") and _HIDING.search(";".join(body)):
-            out.update(x for s in prelude.split(",") if _SIMPLE.match(x := s.strip()))
-
-    for m in _CSS.finditer(sheet):
-        text.append(sheet[at : m.start()])
-        at = m.end()
-        mark = m[0]
-        if mark not in ("{", "}", ";"):
-            text.append("" if mark.startswith("/*") else mark)
-            continue
-        words = "".join(text).strip()
-        text = []
-        if mark == "{":
-            outer = not blocks or (blocks[-1][1] and blocks[-1][0].startswith("@"))
-            blocks.append((words, outer and (not words.startswith("@") or _on_screens(words))))
-            declared.append([])
-        elif blocks:
-            declared[-1].append(words)
-            if mark == "}":
-                end(*blocks.pop(), declared.pop())
-    if blocks:  # a sheet that ends within a rule
-        declared[-1].append("".join([*text, sheet[at:]]).strip())
-        end(*blocks[-1], declared[-1])
+def declarations(parts: Iterable[str]) -> dict[str, tuple[bool, str]]:
+    """Whether display and visibility are important, and their values; the last one counts, an important one before all."""
+    out: dict[str, tuple[bool, str]] = {}
+    for part in parts:
+        if m := _STYLE.match(part):
+            name, mine = m[1].lower(), (bool(m[3]), m[2].lower())
+            if mine[0] or not out.get(name, (False,))[0]:
+                out[name] = mine
+    return out
+
+
+class Styles:
+    """The rules of a page's style sheets that set display or visibility, by what the last part of their selectors needs."""
+
+    def __init__(self) -> None:
+        self.rules: dict[str, list[tuple]] = defaultdict(list)
+        self.count = 0
+
+    def add(self, prelude: str, body: list[str]) -> None:
+        if not (found := declarations(body)):
+            return
+        for selector in prelude.split(","):
+            steps, weight = [], [0, 0, 0]
+            parts = _CHAIN.split(selector.strip())  # compounds with the combinators between them
+            for k in range(0, len(parts), 2):
+                m = _COMPOUND.match(parts[k])
+                if not parts[k] or not m:
+                    break
+                names = re.findall(r"[.#][\w-]+", m[2])
+                tag = (m[1] or "*").lower()
+                steps.append((parts[k - 1] if k else None, tag, frozenset(names)))
+                for n in names:
+                    weight[n[0] == "."] += 1
+                weight[2] += tag != "*"
+            else:
+                self.count += 1
+                _, tag, names = steps[-1]
+                key = next((n for n in sorted(names)), tag)
+                self.rules[key].append((tuple(weight), self.count, steps, found))
+
+    def read(self, sheet: str) -> None:
+        """The rules of a sheet, read with their nesting."""
+        text: list[str] = []  # since the last brace or semicolon
+        blocks: list[tuple[str, bool]] = []  # open blocks: their preludes, whether rules in them count
+        declared: list[list[str]] = []
+        at = 0
+
+        def end(prelude: str, counts: bool, body: list[str]) -> None:
+            if counts and not prelude.startswith("@"):
+                self.add(prelude, body)
+
+        for m in _CSS.finditer(sheet):
+            text.append(sheet[at : m.start()])
+            at = m.end()
+            mark = m[0]
+            if mark not in ("{", "}", ";"):
+                text.append("" if mark.startswith("/*") else mark)
+                continue
+            words = "".join(text).strip()
+            text = []
+            if mark == "{":
+                outer = not blocks or (blocks[-1][1] and blocks[-1][0].startswith("@"))
+                blocks.append((words, outer and (not words.startswith("@") or _on_screens(words))))
+                declared.append([])
+            elif blocks:
+                declared[-1].append(words)
+                if mark == "}":
+                    end(*blocks.pop(), declared.pop())
+        if blocks:  # a sheet that ends within a rule
+            declared[-1].append("".join([*text, sheet[at:]]).strip())
+            end(*blocks[-1], declared[-1])
+
+    def of(self, node: Node) -> dict[str, str]:
+        """The values of display and visibility that win for the node."""
+        won: dict[str, tuple] = {}
+        if self.rules:
+            for key in _names(node) | {node.tag, "*"}:
+                for weight, order, steps, found in self.rules.get(key, ()):
+                    if _matches(node, steps):
+                        for name, (important, value) in found.items():
+                            won[name] = max(won.get(name, (False,)), (important, False, weight, order, value))
+        if style := node.attributes.get("style"):
+            for name, (important, value) in declarations(style.split(";")).items():
+                won[name] = max(won.get(name, (False,)), (important, True, (), 0, value))
+        return {name: x[-1] for name, x in won.items()}
+
+
+def _names(node: Node) -> set[str]:
+    """The node's classes and id as selectors name them."""
+    a = node.attributes
+    out = {"." + c for c in a["class"].split()} if "class" in a else set()
+    if "id" in a:
+        out.add("#" + a["id"])
     return out
 
 
-def parse(page: str) -> tuple[Node, set[str]]:
-    """The tree, and the simple selectors that style sheets hide."""
+def _matches(node: Node | None, steps: list[tuple]) -> bool:
+    """Whether a chain of compounds, each a descendant or child of the one before, ends at the node."""
+    fits = lambda x, step: x.tag != "#root" and step[1] in ("*", x.tag) and step[2] <= _names(x)
+    if not fits(node, steps[-1]):
+        return False
+    # Of several ancestors that fit a descendant step the nearest is taken, unless a child step before it fails there.
+    states = [(node, len(steps) - 1)]
+    while states:
+        x, k = states.pop()
+        if k == 0:
+            return True
+        up, child = x.parent, steps[k][0] == ">"
+        while up is not None:
+            if fits(up, steps[k - 1]):
+                states.append((up, k - 1))
+                if steps[k - 1][0] != ">":
+                    break
+            if child:
+                break
+            up = up.parent
+    return False
+
+
+def parse(page: str) -> tuple[Node, Styles]:
+    """The tree, and the rules of its style sheets."""
     root = Node("#root", {})
-    stack, open_tags, selectors = [root], Counter(), set()
+    stack, open_tags, styles = [root], Counter(), Styles()
     at, n = 0, len(page)
 
     def pop_to(depth: int) -> None:
@@ -164,7 +253,7 @@ def parse(page: str) -> tuple[Node, set[str]]:
             if tag in VOID and tag != "br":
                 continue
             if tag == "br":
-                stack[-1].children.append(Node("br", {}))
+                stack[-1].children.append(Node("br", {}, stack[-1]))
             elif open_tags[tag]:
                 border = {"table"} if tag not in ("table", "html", "body", "div", "section", "article", "main") else set()
                 for i in range(len(stack) - 1, 0, -1):
@@ -176,9 +265,9 @@ def parse(page: str) -> tuple[Node, set[str]]:
             continue
         if rule := CLOSES.get(tag):
             close(*rule)
-        if tag in BLOCK and tag not in ("html", "body", "li", "dt", "dd", "tr", "caption"):
+        if tag in BLOCK and tag not in ("html", "body", "li", "dt", "dd", "tr", "caption", "select", "option", "optgroup"):
             close({"p"}, P_BORDERS)
-        node = Node(tag, _attributes(m[3]))
+        node = Node(tag, _attributes(m[3]), stack[-1])
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -186,7 +275,7 @@ def parse(page: str) -> tuple[Node, set[str]]:
             end = re.compile(rf"</{tag}\b", re.I).search(page, at)
             stop = end.start() if end else n
             if tag == "style":
-                selectors |= hiding_selectors(page[at:stop])
+                styles.read(page[at:stop])
             else:
                 node.children.append(page[at:stop] if tag in ("xmp",) else html.unescape(page[at:stop]))
             gt = page.find(">", stop) if end else -1
@@ -194,21 +283,20 @@ def parse(page: str) -> tuple[Node, set[str]]:
             continue
         stack.append(node)
         open_tags[tag] += 1
-    return root, selectors
+    return root, styles
 
 
-def is_hidden(node: Node, selectors: set[str]) -> bool:
+def is_hidden(node: Node, styles: Styles) -> bool:
+    """Whether the node and all in it is left out; sets whether the node's own text is visible."""
     a = node.attributes
-    if node.tag in HIDDEN or "hidden" in a or (node.tag == "input"):
-        return True
-    if node.tag == "dialog" and "open" not in a:
+    if node.tag in HIDDEN or node.tag == "input":
         return True
-    if "style" in a and _HIDING.search(a["style"]):
-        return True
-    if selectors:
-        names = [node.tag, *("." + c for c in a.get("class", "").split()), "#" + a.get("id", "")]
-        return any(x in selectors for x in names)
-    return False
+    won = styles.of(node) if styles.rules or "style" in a else {}
+    own = won.get("visibility", "inherit")
+    node.visible = own in ("visible", "initial") or (own not in ("hidden", "collapse") and (node.parent is None or node.parent.visible))
+    if "display" in won:
+        return won["display"] == "none"
+    return "hidden" in a or (node.tag == "dialog" and "open" not in a)
 
 
 def shown_width(text: str) -> int:
@@ -279,7 +367,7 @@ def _table(rows: list[list[list[str]]]) -> list[str]:
     return out
 
 
-def render(root: Node, selectors: set[str]) -> str:
+def render(root: Node, styles: Styles) -> str:
     flows: list[_Flow] = [_Flow()]
     tables: list[list[list[list[str]]]] = []
     counters: list[int | None] = []
@@ -300,13 +388,13 @@ def render(root: Node, selectors: set[str]) -> str:
             continue
         tag = node.tag
         if not leaving:
-            if is_hidden(node, selectors):
+            if is_hidden(node, styles):
                 continue
             if tag == "br":
-                flow.end_line(force=True)
+                flow.end_line(force=node.visible)
                 continue
             if tag == "hr":
-                flow.add(["---"], 1)
+                flow.add(["---"] if node.visible else [], 1)
                 continue
             if tag in VOID:
                 continue
@@ -331,7 +419,7 @@ def render(root: Node, selectors: set[str]) -> str:
             elif tag == "pre":
                 pre += 1
             work.append((node, True))
-            work.extend((c, False) for c in reversed(node.children))
+            work.extend((c, False) for c in reversed(node.children) if node.visible or not isinstance(c, str))
             continue
         if tag in ("td", "th"):
             lines = flows.pop().done()
@@ -340,7 +428,7 @@ def render(root: Node, selectors: set[str]) -> str:
                     tables[-1].append([])
                 span = node.attributes.get("colspan", "1")
                 tables[-1][-1].append(lines)
-                tables[-1][-1].extend([] for _ in range(min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0))
+                tables[-1][-1].extend([] for _ in range(min(int(span), SPAN) - 1 if span.isascii() and span.isdigit() and len(span) < 10 else 0))
             else:
                 flows[-1].add(lines)
         elif tag == "li":
