@@ -147,7 +147,7 @@ def test_stream_of_documents(spark, tmp_path):
     trainer = OnlineTrainer(PLSA(2, 3, 1), vocab, str(tmp_path / "state"))
     query = trainer.writer(stream, str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert (tmp_path / "state" / "phi-1.npy").exists() and np.allclose(trainer.model.phi.sum(1), 1)
+    assert (tmp_path / "state" / "phi-1" / "phi.npy").exists() and np.allclose(trainer.model.phi.sum(1), 1)
     before = trainer.model.phi.copy()
     trainer.step(spark.createDataFrame([(9, "a a a")], "doc_id long, text string"), 1)
     assert np.array_equal(trainer.model.phi, before)

@@ -35,6 +35,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "train":
             p.add_argument("--n_topics", type=int, default=20)
             p.add_argument("--max_iter", type=int, default=100)
+            p.add_argument("--batch_size", type=int, default=1000, help="documents that a task reads at once; results do not depend on it")
             p.add_argument("--seed", type=int, default=42)
             p.add_argument("--val_split", type=float, default=0.0)
             p.add_argument("--patience", type=int)
@@ -60,6 +61,9 @@ def main(args: list[str] | None = None) -> dict | None:
     bow = bag_of_words(tok, vocab).persist()
     train, val = train_val_split(bow, a.val_split, a.seed) if a.val_split > 0 else (bow, None)
     words = [x["token"] for x in vocab.orderBy("word_id").toLocalIterator()]
+    if a.batch_size <= 0:
+        raise ValueError("batch_size must be positive")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(a.batch_size))
     model = PLSA(a.n_topics, len(words), a.seed)
     history = model.fit_full(train, a.max_iter, val, a.patience, a.min_delta)
     for k, best in enumerate(model.get_top_words(words, a.top_n)):

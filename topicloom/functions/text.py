@@ -17,8 +17,8 @@ Step = Callable[[Column], Column]
 
 #: Unicode white space as code point ranges, for use inside brackets.
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: Decimal digits, and superscript and subscript ones.
-DIGITS = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}"
+#: Decimal digits, and superscript, subscript, Ethiopic, circled and other ones with a digit value.
+DIGITS = r"\p{Nd}\x{b2}\x{b3}\x{b9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}\x{1369}-\x{1371}\x{19da}\x{2460}-\x{2468}\x{2474}-\x{247c}\x{2488}-\x{2490}\x{24ea}\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}"
 #: Short and long list of English stop words.
 STOPWORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
 STOPWORDS_LONG = (*STOPWORDS, "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must")
@@ -60,6 +60,16 @@ def stopwords_remover(stopwords: Iterable[str]) -> Step:
     return lambda text: F.array_join(without(tokens_simple(text), stopwords), " ")
 
 
+_LEMMAS: dict[int, tuple[Callable[[str], str], Callable[[str], str]]] = {}
+
+
+def _cached(lemma: Callable[[str], str]) -> Callable[[str], str]:
+    """``lemma`` with a cache that lives as long as the worker has this function."""
+    if (known := _LEMMAS.get(id(lemma))) is None or known[0] is not lemma:
+        known = _LEMMAS[id(lemma)] = (lemma, functools.lru_cache(200_000)(lemma))
+    return known[1]
+
+
 def lemmatizer(lemma: Callable[[str], str] | dict[str, str]) -> Step:
     """A step that maps each token: by a table (unknown tokens stay), or by a Python callable in an Arrow UDF."""
     if isinstance(lemma, dict):
@@ -68,7 +78,7 @@ def lemmatizer(lemma: Callable[[str], str] | dict[str, str]) -> Step:
 
     @F.pandas_udf("string")
     def each(texts: pd.Series) -> pd.Series:
-        known = functools.lru_cache(200_000)(lemma)
+        known = _cached(lemma)
         return texts.map(lambda t: " ".join(map(known, t.split())) if t is not None else None)
 
     return lambda text: each(text)

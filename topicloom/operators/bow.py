@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.vocab import occurrences
+from topicloom.functions.text import Step, tokens_simple
+from topicloom.operators.vocab import occurrences, tokenised
 
-#: Vocabulary rows up to which it is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table is broadcast; beyond, the join shuffles.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a check of the number of rows."""
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of a row in memory: 16 a column, and 48 more for strings (tokens) and the like."""
+    return sum(16 if f.dataType.typeName() in ("integer", "long", "double", "float", "boolean", "short", "byte") else 64 for f in df.schema.fields)
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a check of rows times their width: a phi of many topics has wide rows."""
+    rows = limit // row_bytes(df)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -23,6 +30,11 @@ def encoded(tokenised_: DataFrame, vocab: DataFrame) -> DataFrame:
     return tokenised_.select("doc_id").join(ids, "doc_id", "left").withColumn("word_ids", F.coalesce("word_ids", F.array().cast("array<int>")))
 
 
+def encoded_at(docs: DataFrame, vocab: DataFrame, ids: list[int], tokenizer: Step = tokens_simple) -> DataFrame:
+    """(doc_id, word_ids) of some documents of (doc_id, text): the ids are pushed to the scan, and only these texts are split."""
+    return encoded(tokenised(docs.where(F.col("doc_id").isin(ids)), tokenizer), vocab)
+
+
 def bag_of_words(tokenised_: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, word_id, n)."""
     return occurrences(tokenised_).join(small(vocab.select("token", "word_id")), "token").groupBy("doc_id", "word_id").agg(F.count(F.lit(1)).cast("int").alias("n"))

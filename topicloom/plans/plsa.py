@@ -166,10 +166,10 @@ def _with_empty(theta: DataFrame, docs: DataFrame | None, topics: int) -> DataFr
 class DensePLSA:
     """pLSA whose theta is kept between iterations; both matrices are updated from the same responsibilities."""
 
-    def __init__(self, n_topics: int, max_iter: int = 100, tol: float = 1e-4, smooth: float = 1e-8, random_state: int | None = None, phi: np.ndarray | None = None) -> None:
+    def __init__(self, n_topics: int, max_iter: int = 100, tol: float = 1e-4, smooth: float = 1e-8, random_state: int | None = None, phi: np.ndarray | None = None, theta: DataFrame | None = None) -> None:
         self.n_topics, self.max_iter, self.tol, self.eps, self.phi = n_topics, max_iter, tol, smooth, phi
         self.random = np.random.default_rng(random_state)
-        self.theta: DataFrame | None = None
+        self.theta = theta  # (doc_id, t0 .. t{T-1}) to start from; random if there is none
         self.log_likelihoods: list[float] = []
 
     def fit(self, bow: DataFrame, vocab_size: int) -> DensePLSA:
@@ -181,7 +181,7 @@ class DensePLSA:
         names = em.columns("p", topics)
         phi = spark.createDataFrame(pa.table({"word_id": pa.array(np.arange(vocab_size), pa.int32())} | {c: pa.array(self.phi[k]) for k, c in enumerate(names)}))
         seed = int(self.random.integers(1 << 31))
-        theta = em.row_normalised(_seeded_theta(bow, topics, seed), topics)
+        theta = self.theta if self.theta is not None else em.row_normalised(_seeded_theta(bow, topics, seed), topics)
         bow = bow.persist()
         before = -math.inf
         for _ in range(self.max_iter):

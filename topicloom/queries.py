@@ -6,6 +6,7 @@ rounded, since sums depend on the order of addition.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from topicloom.functions import text as X
 from topicloom.operators import batches, bow, em, report, vocab
 from topicloom.plans.plsa import PLSA, DensePLSA, phi_frame
-from topicloom.plans.regularised import RegularisedModel
+from topicloom.plans.regularised import RegularisedModel, decorrelation, smoothing
 from topicloom.session import cut, shared_folder
 from topicloom.sources import corpus
 
@@ -167,7 +168,8 @@ def plsa_fit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     phi = _matrix(x)
     val = F.pmod("doc_id", F.lit(10)) == 0
     model = PLSA(T, phi.shape[1], phi=phi)
-    return corpus.history_frame(spark, model.fit_full(x["bow"].where(~val), 5, x["bow"].where(val), patience=2))
+    history = corpus.history_frame(spark, model.fit_full(x["bow"].where(~val), 5, x["bow"].where(val), patience=2))
+    return history.select("iteration", *(F.round(c, 3).alias(c) for c in ("train_perplexity", "val_perplexity")))
 
 
 def fullem_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +179,24 @@ def fullem_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_words(phi_frame(spark, model.phi), 10, x["vocab"], 6)
 
 
+#: Strengths of the regularisers in ``regularised_fit``.
+SMOOTH, APART = 0.1, 0.5
+
+
+def regularised_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """phi after one iteration with both Python hooks: theta smoothed in two inner steps, topics of phi pushed apart."""
+    x = base(spark, sf_dir)
+    phi = _matrix(x)
+    model = RegularisedModel(T, phi.shape[1], decorrelation(APART), smoothing(SMOOTH), max_inner_iter=2, theta_convergence_tol=0.0, phi=phi, phi_norm="word_axis").fit(x["bow"], 1)
+    return phi_frame(spark, model.phi).withColumn("p", F.round("p", 8))
+
+
 def dense_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two iterations of the dense trainer from arithmetic starts, then five steps of its transform."""
     x = base(spark, sf_dir)
-    model = DensePLSA(T, max_iter=2, random_state=1).fit(x["bow"], x["vocab"].count())
-    return model.transform(x["bow"], 5)
+    model = DensePLSA(T, max_iter=2, phi=_matrix(x), theta=_dense_start(x)).fit(x["bow"], x["vocab"].count())
+    each = model.transform(x["bow"], 5).select("doc_id", F.posexplode("theta").alias("topic", "p"))
+    return each.select("topic", "doc_id", F.round("p", 6).alias("p"))
 
 
 def online_fit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,11 +207,57 @@ def online_fit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.top_words(phi_frame(spark, model.phi), 10, x["vocab"], 6)
 
 
+#: A small lemma table; unknown tokens stay.
+LEMMAS = {"est": "être", "of": "o", "reing": "re", "the": "th", "thing": "thin"}
+
+
+def _analysed(text: str) -> list[tuple[str, str]]:
+    """Stands in for a language model: the lemma of a word is its first five characters."""
+    return [(w, w[:5]) for w in text.split()]
+
+
+def _lemma(word: str) -> str:
+    return LEMMAS.get(word, word)
+
+
+def tokens_by_lemma_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts after a lemma table was joined to the distinct tokens."""
+    lemmas = spark.createDataFrame(list(LEMMAS.items()), "token string, lemma string")
+    tokens = vocab.tokenised(documents(spark, sf_dir), X.tokens_lower).select("doc_id", F.explode("tokens").alias("token"))
+    return X.lemmatized(tokens, lemmas).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def seeded_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is in the seeded training and validation parts together: once."""
+    parts = batches.train_val_split(documents(spark, sf_dir), 0.2, 7)
+    return parts[0].unionByName(parts[1]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+
+
+def shuffle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positions of a seeded shuffle, joined back to documents by their ids: each is there once."""
+    docs = documents(spark, sf_dir)
+    placed = batches.of_ids(batches.shuffled(docs.select("doc_id"), 3, 1), docs)
+    return placed.groupBy("position").agg(F.count(F.lit(1)).alias("times"))
+
+
+def encode_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bow.encoded_at(documents(spark, sf_dir), base(spark, sf_dir)["vocab"], [3, 17])
+    return rows.select("doc_id", F.array_join(F.col("word_ids").cast("array<string>"), ",").alias("word_ids"))
+
+
+def vocabulary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary through its JSON file and back."""
+    with tempfile.TemporaryDirectory() as folder:
+        corpus.save_vocabulary(base(spark, sf_dir)["vocab"], f"{folder}/vocab.json")
+        return corpus.load_vocabulary(spark, f"{folder}/vocab.json")
+
+
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents to a CSV folder, to a Parquet folder, and back with document numbers."""
     root = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    rows = documents(spark, sf_dir).orderBy("doc_id").select("doc_id", F.col("text").alias("Description"))
-    rows.coalesce(1).write.csv(f"{root}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    # Files are named by partition, so a range exchange keeps the documents' order over all of them.
+    rows = documents(spark, sf_dir).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("doc_id", F.col("text").alias("Description"))
+    rows.write.csv(f"{root}/csv", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     corpus.csv_folder_to_parquet(spark, f"{root}/csv", f"{root}/parquet")
     return corpus.read_corpus(spark, f"{root}/parquet").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
 
@@ -277,6 +339,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fullem_fit": fullem_fit,
         "dense_fit": dense_fit,
         "online_fit_batch": online_fit_batch,
+        "regularised_fit": regularised_fit,
+        "tokens_lemma": _tokens(X.make_tokenizer(X.preprocessor(True, X.STOPWORDS, LEMMAS))),
+        "tokens_lemma_callable": _tokens(lambda t: X.tokens_simple(X.preprocessor(True, None, _lemma)(t))),
+        "tokens_model": _tokens(X.model_tokenizer(_analysed, ("the", "of"))),
+        "tokens_by_lemma_join": tokens_by_lemma_join,
+        "seeded_split": seeded_split,
+        "shuffle_positions": shuffle_positions,
+        "encode_point": encode_point,
+        "vocabulary_file": vocabulary_file,
         "label_join": label_join,
         "csv_roundtrip": csv_roundtrip,
         "bow_events": bow_events,
@@ -334,6 +405,49 @@ grid{k} as (select r.topic::int as topic, word_id, coalesce(s, 0) as s from voca
 phi{k + 1} as materialized (select topic, word_id, {s} / {total} as p from grid{k})"""
 
 
+def _score_sql(k: int, cells: str, tag: str) -> str:
+    """sc_{tag}{k}: the perplexity (column v) of the bag of words ``cells`` under phi{k}."""
+    x = f"_{tag}{k}"
+    return f"""
+su{x} as (select doc_id, topic, sum(n * p) as u from {cells} join phi{k} using (word_id) group by doc_id, topic),
+st{x} as materialized (select doc_id, topic, u / greatest(sum(u) over (partition by doc_id), 1e-12) as t from su{x}),{_cells_sql(f"se{x}", f"phi{k}", f"st{x}", "floor").replace("from bow b", f"from {cells} b")},
+sn{x} as (select doc_id, topic, sum(e) as s from se{x} group by doc_id, topic),
+sx{x} as materialized (select doc_id, topic, s / greatest(sum(s) over (partition by doc_id), 1e-12) as t from sn{x}),
+sl{x} as (select b.doc_id, b.word_id, any_value(b.n) as n, sum(f.p * h.t) as q from {cells} b join phi{k} f on b.word_id = f.word_id join sx{x} h on h.doc_id = b.doc_id and h.topic = f.topic group by b.doc_id, b.word_id),
+sc{x} as materialized (select exp(-sum(n * ln(greatest(q, 1e-12))) / sum(n)) as v from sl{x})"""
+
+
+def _part_sql(where: str, name: str = "bow") -> str:
+    """``_BASE`` with the bag of words of some documents as ``name``."""
+    return f"{_BASE.replace('bow as materialized (', 'abow as materialized (')},\n{name} as materialized (select * from abow where {where})"
+
+
+def _inner_until_sql(k: int, j: int, tol: float) -> str:
+    """Inner step j of iteration k: documents whose theta moved by less than ``tol`` stay as they were left."""
+    a, b = f"r{k}_{j}", f"r{k}_{j + 1}"
+    return f"""{_cells_sql(f"c{a}", f"q{k}", a, "nonzero")},
+s{a} as (select doc_id, topic, sum(e) as s from c{a} group by doc_id, topic),
+n{a} as (select doc_id, topic, s / case when sum(s) over (partition by doc_id) = 0 then 1 else sum(s) over (partition by doc_id) end as t from s{a}),
+{b} as materialized (select o.doc_id, o.topic, case when o.going then n.t else o.t end as t, o.going and max(abs(n.t - o.t)) over (partition by o.doc_id) >= {tol!r}::double as going from {a} o join n{a} n using (doc_id, topic))"""
+
+
+def _fullem_sql(iterations: int, inner: int, tol: float) -> str:
+    parts = ["\nq0 as (select topic, word_id, p from phi0)"]
+    for k in range(iterations):
+        parts.append(f"\nr{k}_0 as materialized (select doc_id, topic::int as topic, 1.0::double / {T} as t, true as going from (select distinct doc_id from bow), range({T}) as r(topic))")
+        parts += [_inner_until_sql(k, j, tol) for j in range(inner)]
+        parts.append(_cells_sql(f"f{k}", f"q{k}", f"r{k}_{inner}", "nonzero"))
+        parts.append(f"\nw{k} as (select topic, word_id, sum(e) as s from f{k} group by topic, word_id)")
+        parts.append(f"\ng{k} as (select r.topic::int as topic, word_id, coalesce(s, 0) as s from vocab cross join range({T}) as r(topic) left join w{k} using (topic, word_id))")
+        parts.append(f"\nq{k + 1} as materialized (select topic, word_id, s / case when sum(s) over (partition by word_id) = 0 then 1 else sum(s) over (partition by word_id) end as p from g{k})")
+    return f"{_BASE},{_PHI0}," + ",".join(parts)
+
+
+def _top_sql(phi: str, digits: int) -> str:
+    return f"""r as (select topic, word_id, round(p, {digits}) as p from {phi}), k as (select *, row_number() over (partition by topic order by p desc, word_id desc)::int as rank from r)
+select topic, rank, word_id, token, p from k join vocab using (word_id) where rank <= 10"""
+
+
 def _expected_sql(k: int) -> str:
     return f"""{_theta_sql(k)},{_cells_sql(f"c{k}", f"phi{k}", f"th{k}", "floor")},
 ntd{k} as (select doc_id, topic, sum(e) as s from c{k} group by doc_id, topic),
@@ -367,8 +481,8 @@ dt{k} as (select doc_id, topic, sum(e) as s from dc{k} group by doc_id, topic),
 dth{k + 1} as materialized (select doc_id, topic, s / (sum(s) over (partition by doc_id) + 1e-8) as t from dt{k})"""
 
 
-def _fold_sql(k: int) -> str:
-    return f"""{_cells_sql(f"gc{k}", "phi0", f"ith{k}", "add")},
+def _fold_sql(k: int, phi: str = "phi0") -> str:
+    return f"""{_cells_sql(f"gc{k}", phi, f"ith{k}", "add")},
 gs{k} as (select doc_id, topic, sum(e) + 1e-8 as s from gc{k} group by doc_id, topic),
 ith{k + 1} as materialized (select doc_id, topic, s / sum(s) over (partition by doc_id) as t from gs{k})"""
 
@@ -387,6 +501,17 @@ def oracle_sql() -> dict[str, str]:
     em1 = f"with {_BASE},{_PHI0},{_step_sql(0)}"
     stop = ", ".join(f"'{w}'" for w in X.STOPWORDS_LONG)
     cyrillic = f"regexp_replace(lower({_TEXT} || '{CYRILLIC_TAIL}'), '[^а-яё{X.WS}]', ' ', 'g')"
+    lemma = "case x " + " ".join(f"when '{a}' then '{b}'" for a, b in LEMMAS.items()) + " else x end"
+    short = ", ".join(f"'{w}'" for w in X.STOPWORDS)
+    kept = f"list_transform(list_filter({_split(_CLEAN)}, lambda x: x not in ({short})), lambda x: {lemma})"
+    model = f"list_filter({_split(_TEXT)}, lambda x: regexp_full_match(x, '\\p{{L}}+') and length(x) >= 2)"
+    letters = f"list_filter(list_transform({model}, lambda x: lower(left(x, 5))), lambda x: x not in ('the', 'of'))"
+    train = f"with {_part_sql('doc_id % 10 <> 0')},\nvbow as materialized (select * from abow where doc_id % 10 = 0),{_PHI0},"
+    train += ",".join([*(_step_sql(k) for k in range(5)), *(_score_sql(k, cells, tag) for k in range(1, 6) for cells, tag in (("bow", "t"), ("vbow", "v")))])
+    history = " union all ".join(f"select {k} as iteration, round(t.v, 3) as train_perplexity, round(v.v, 3) as val_perplexity from sc_t{k + 1} t, sc_v{k + 1} v" for k in range(5))
+    half = lambda k: _step_sql(k).replace("from bow", f"from bow{k}")
+    halves = f"{_part_sql('doc_id % 2 = 0', 'bow0')},\nbow1 as materialized (select * from abow where doc_id % 2 = 1)"
+    point = "where doc_id in (3, 17)"
     replays = ", ".join(f"({p}, {d!r}::double)" for p, d in REPLAYS)
     return {
         "tokens_simple": _tokens_sql(_split(_TEXT)),
@@ -450,6 +575,25 @@ run as (select patience, min_delta, -1 as i, 'inf'::double as best, -1 as best_a
   from run r join curve c on c.i = r.i + 1 where r.stops_at < 0)
 select patience::int as patience, min_delta, stops_at::int as stops_at, best_at::int as best_at, round(best, 6) as best from run
 qualify row_number() over (partition by patience, min_delta order by i desc) = 1""",
+        # Validation does not rise twice in five iterations, so the early stop takes no row away.
+        "plsa_fit_full": f"{train} {history}",
+        "online_fit_batch": f"with {halves},{_PHI0},{half(0)},{half(1)}, {_top_sql('phi2', 6)}",
+        "fullem_fit": f"with {_fullem_sql(2, 20, 1e-4)}, {_top_sql('q2', 6)}",
+        "dense_fit": f"with {_BASE},{_PHI0},\ndr as (select doc_id, topic::int as topic, (1 + (doc_id * (topic + 2) + 3 * topic) % 7)::double as v from (select distinct doc_id from bow), range({T}) as r(topic)),\n"
+        f"dth0 as materialized (select doc_id, topic, v / sum(v) over (partition by doc_id) as t from dr),{_dense_sql(0)},{_dense_sql(1)},{_UNIFORM},{','.join(_fold_sql(k, 'dphi2') for k in range(5))} {_theta_out('ith5')}",
+        "regularised_fit": f"with {_BASE},{_PHI0},{_UNIFORM},{_inner_sql(0, SMOOTH)},{_inner_sql(1, SMOOTH)},{_cells_sql('fc', 'phi0', 'ith2', 'nonzero')},\nfn as (select topic, word_id, sum(e) as s from fc group by topic, word_id),\n"
+        f"x as (select f.topic, f.word_id, coalesce(s, 0) - {APART!r}::double * p * (sum(p) over (partition by f.word_id) - p) as v from phi0 f left join fn using (topic, word_id)) "
+        "select topic, word_id, round(v / case when sum(v) over (partition by topic) = 0 then 1 else sum(v) over (partition by topic) end, 8) as p from x",
+        "tokens_lemma": _tokens_sql(f"list_filter({kept}, lambda x: length(x) >= 2 and not regexp_full_match(x, '[{X.DIGITS}]+'))"),
+        "tokens_lemma_callable": _tokens_sql(f"list_transform({_split(_CLEAN)}, lambda x: {lemma})"),
+        "tokens_model": _tokens_sql(letters),
+        "tokens_by_lemma_join": f"with t as (select unnest({_split(f'lower({_TEXT})')}) as x from documents) select {lemma} as token, count(*) as n from t group by 1",
+        "seeded_split": "select doc_id, 1::bigint as times from documents",
+        "shuffle_positions": "select row_number() over (order by doc_id) - 1 as position, 1::bigint as times from documents",
+        "encode_point": f"with {_BASE}, pos as (select doc_id, generate_subscripts(l, 1) as i, unnest(l) as token from (select doc_id, {_split(_TEXT)} as l from documents {point})), "
+        "ids as (select doc_id, string_agg(word_id::varchar, ',' order by i) as word_ids from pos join vocab using (token) group by doc_id) "
+        f"select doc_id, coalesce(word_ids, '') as word_ids from documents left join ids using (doc_id) {point}",
+        "vocabulary_file": f"with {_BASE} select token, word_id from vocab",
         "label_join": f"with {_BASE} select quality, toxic, count(distinct doc_id) as docs, sum(n)::bigint as kept_tokens from bow join labels using (doc_id) group by quality, toxic",
         "csv_roundtrip": "select row_number() over (order by doc_id) - 1 as doc_id, md5(coalesce(text, '')) as digest from documents",
         "bow_events": "select user_id as doc_id, event_type as word, count(*) as n from events group by all",

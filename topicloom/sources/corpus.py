@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from topicloom.session import cut
+
 log = logging.getLogger(__name__)
 
 
@@ -78,7 +80,8 @@ def numbered_by(rows: DataFrame, *order: str) -> DataFrame:
     spark = rows.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("__i", F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33)).persist()
+    # Written, not cached: what a lost executor held would be dealt anew, with other numbers.
+    dealt = cut(dealt.withColumn("__i", F.col("__i") - F.shiftleft(F.col("__p").cast("long"), 33)), "dealt")
     sizes = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
     return dealt.join(F.broadcast(before), "__p").withColumn("doc_id", F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
