@@ -1,5 +1,9 @@
+import hashlib
+import zlib
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -43,8 +47,61 @@ def test_stages(spark, corpus):
     assert {r.doc_id for r in pieces} == kept["personal_data"].keys()
 
 
-def test_every_query_runs_on_the_generated_tables(spark):
-    from topicloom.llm import queries
+def test_stages_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns and empty tables, for each stage on its own."""
+    import corpus_pipeline as pipeline
+
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = odd.withColumn("lang", F.lit("en")).withColumn("n_chars", F.length("text").cast("long"))
+    empty = none.withColumn("lang", F.lit("en")).withColumn("n_chars", F.lit(0).cast("long"))
+    # Near duplicates: one of 1, 2 and the null id, one of 6, 7 and the longer 9, the four without words, 8 and the other 9.
+    left = {"quality": 12, "lines": 12, "near_duplicates": 8, "personal_data": 12}
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, rows, str(tmp_path))
+        assert got.columns == pipeline.COLUMNS and got.count() == left[name], name
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+    stage = pipeline.STAGES[-1][1]
+    pieces = stage(spark, rows, str(tmp_path)).groupBy("doc_id", "piece", "start").count().collect()
+    assert {r.doc_id for r in pieces} == {r.doc_id for r in rows.collect()} and stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_repeated_rows_and_ids_keep_one_of_each(spark):
+    import corpus_pipeline as pipeline
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (2, text + " x"), (3, "other words that are near nothing else"), (None, text), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.near_duplicates_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, text), (3, rows[3][1]), (None, None), (None, None)], key=str)
+
+
+def test_every_query_gives_the_contract_columns(spark, corpus):
+    """Each registered query on the fixture, digests against what plain Python makes of the same texts."""
+    import tiktoken
+    from test_dedup import repeats
+    from test_llm_text import plain_spans
+
+    import public_tokenizers
+    from topicloom.llm import byte_bpe, queries
 
     assert {f"op{n}_" for n in range(1, 11)} == {name[: name.index("_") + 1] for name in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    run = lambda name: queries.queries()[name](spark, corpus).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{corpus}/documents.parquet").collect()}
+    scored = run("op1_quality")
+    assert {(r.doc_id, r.held_out) for r in scored} == {(i, zlib.crc32(str(i).encode()) % 3 == 1) for i in texts}
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in scored)
+    enc = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for r in run("op3_byte_bpe"):
+        ids = enc.encode_ordinary(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[r.doc_id].encode()))
+    want = dict(zip(texts, repeats(list(texts.values())), strict=True))
+    for r in run("op5_suffix_dedup"):
+        spans, kept = want[r.doc_id]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(texts[r.doc_id].encode()), sum(b - a for a, b in spans), len(spans), sha(kept))
+    for r in run("op8_pii"):
+        plain = plain_spans(texts[r.doc_id])
+        assert r.base_sha256 == sha(plain.encode()) and set(filter(None, plain.split(","))) <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [plain.count(k + ":") for k in ("email", "ip", "card", "phone")]
+    assert {r.doc_id for r in run("op6_packing")} == {r.doc_id for r in run("op7_ngram_join")} == {r.doc_id for r in run("op9_line_dedup")} == {r.doc_id for r in run("op10_exact_dedup")} == set(texts)

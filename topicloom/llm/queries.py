@@ -70,7 +70,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.extract(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["k"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])]
     return found.select("doc_id", *counts, F.sha2(pii.digest_string(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.digest_string(F.col("spans")).alias("spans"))
 
 
