@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; its result is written as
 Parquet and read again. All but the last return the columns of ``documents``.
+
+Defined results: null texts stay null (as empty ones they have no lines, links or personal data, and give one piece); very long texts are
+handled whole; null and repeated ids are rows of their own, and of rows that are equal or near one stays, whatever its id;
+ties go to the least id; an empty table, and one without labels (all documents stay then), gives an empty or whole result; other
+columns of ``docs`` are dropped, whatever their names. What a stage writes on its way is deleted once its result is written.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.llm import line_dedup, ngram_join, packing, pii, quality
-from topicloom.llm._common import written
+from topicloom.llm._common import delete, scratch, written
 from topicloom.llm.queries import held_out, tokenizer_file
 from topicloom.session import ship
 
@@ -30,7 +35,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on a tenth of a source's pages go."""
+    """Lines on more than ``line_dedup.RATIO`` of a source's pages go."""
     ship(spark)
     return _as_documents(line_dedup.drop_boilerplate(docs.select(*COLUMNS), "source", "text"))
 
@@ -67,5 +72,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, kept = docs, []
+        with scratch(spark, kept):
+            kept.append(docs := written(stage(spark, before, sf_dir), name))
+        if before is not docs and hasattr(before, "written_to"):
+            delete(spark, [before.written_to])
     return STAGES[-1][1](spark, docs, sf_dir)
