@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by star contraction."""
+"""Connected components of an edge table, by star contraction.
+
+Defined results: edges whose ends are equal are ignored, repeated ones count once, and their direction does not matter; an
+empty table has no components; ends must not be null, other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -110,19 +110,24 @@ def strings_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     gram = np.bincount(owner, hit * own, len(begin)).astype(np.int64)  # its place, where it is there once
     gram[twice] = begin[twice]
     left = np.clip(gram - begin - CONTEXT + 1, 0, count)
-    before = _contexts(data, np.maximum(gram - CONTEXT, 0))
-    after = _contexts(data, np.minimum(gram, len(data) - GRAM - CONTEXT))
+    del grams, low, around, hits, hit, own, owner
+    before, after = _contexts(data, np.maximum(gram - CONTEXT, 0), np.minimum(gram, len(data) - GRAM - CONTEXT))
     return begin, count, h, twice, left, np.where(left > 0, before, 0), np.where(left < count, after, 0)
 
 
-def _contexts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+def _contexts(data: np.ndarray, *places: np.ndarray) -> Iterator[np.ndarray]:
     """32-bit hashes of the ``GRAM + CONTEXT`` bytes from each place on; equal bytes have equal hashes."""
-    power, back = np.full(len(data) + 1, _A), np.full(len(data) + 1, np.uint64(pow(int(_A), -1, 1 << 64)))
-    power[0] = back[0] = 1
-    total = np.r_[np.uint64(0), np.cumsum(data * np.cumprod(power)[:-1])]
-    h = (total[at + GRAM + CONTEXT] - total[at]) * np.cumprod(back)[at]
-    h ^= h >> np.uint64(29)
-    return ((h * _B) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    total, back = np.full(len(data) + 1, _A), np.full(len(data) + 1, np.uint64(pow(int(_A), -1, 1 << 64)))
+    total[0] = back[0] = 1
+    np.cumprod(total, out=total)
+    np.cumprod(back, out=back)
+    total[:-1] *= data
+    np.cumsum(total, out=total)
+    for at in places:
+        first = np.where(at > 0, total[at - 1], np.uint64(0))
+        h = (total[at + GRAM + CONTEXT - 1] - first) * back[at]
+        h ^= h >> np.uint64(29)
+        yield ((h * _B) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
