@@ -1,3 +1,5 @@
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -38,3 +40,10 @@ def test_the_rest_works_without_the_optional_part():
     import __spark_entry__ as entry
 
     assert set(library.queries()) <= set(entry.queries())
+
+
+def test_queries_are_listed_without_a_session():
+    """The driver may ask for names and SQL before it has a session."""
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    root = str(Path(__file__).resolve().parents[1])
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, timeout=120).returncode == 0

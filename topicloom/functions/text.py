@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Step = Callable[[Column], Column]
 
@@ -73,10 +74,16 @@ def _cached(lemma: Callable[[str], str]) -> Callable[[str], str]:
 def lemmatizer(lemma: Callable[[str], str] | dict[str, str]) -> Step:
     """A step that maps each token: by a table (unknown tokens stay), or by a Python callable in an Arrow UDF."""
     if isinstance(lemma, dict):
-        table = F.create_map(*(F.lit(x) for pair in sorted(lemma.items()) for x in pair)) if lemma else F.create_map()
-        return lambda text: F.array_join(F.transform(tokens_simple(text), lambda x: F.coalesce(F.try_element_at(table, x), x)) if lemma else tokens_simple(text), " ")
 
-    @F.pandas_udf("string")
+        def by_table(text: Column) -> Column:
+            if not lemma:
+                return F.array_join(tokens_simple(text), " ")
+            table = F.create_map(*(F.lit(x) for pair in sorted(lemma.items()) for x in pair))
+            return F.array_join(F.transform(tokens_simple(text), lambda x: F.coalesce(F.try_element_at(table, x), x)), " ")
+
+        return by_table
+
+    @F.pandas_udf(T.StringType())
     def each(texts: pd.Series) -> pd.Series:
         known = _cached(lemma)
         return texts.map(lambda t: " ".join(map(known, t.split())) if t is not None else None)
@@ -143,7 +150,7 @@ def model_tokenizer(analyse: Callable[[str], Iterable[tuple[str, str]]], stopwor
     """
     stop = frozenset(stopwords or ())
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def tokenize(texts: pd.Series) -> pd.Series:
         def one(text: str | None) -> list[str]:
             pairs = analyse(text) if text else ()
@@ -158,7 +165,7 @@ def model_tokenizer(analyse: Callable[[str], Iterable[tuple[str, str]]], stopwor
 def python_tokenizer(tokenize: Callable[[str], list[str]]) -> Step:
     """Any Python tokenizer, as an Arrow UDF."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: list(tokenize(t)) if t is not None else [])
 
