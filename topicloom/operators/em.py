@@ -1,20 +1,28 @@
 """EM steps as DataFrame queries.
 
 Matrices over words are wide: phi(word_id, p0 .. p{T-1}); matrices over documents too: theta(doc_id, t0 .. t{T-1}). Nothing
-fans out by topics; each step is a join on the word (broadcast where phi is small, checked), one aggregation by document and
-one by word. ``joined`` frames hold a row for each non-zero cell with the word's phi.
+fans out by topics. ``bow`` is (doc_id, word_id, n) or packed documents (doc_id, word_ids, counts).
+
+Steps send phi to the workers as a matrix and pass over the packed documents: no cell is shuffled, only each task's sums by
+word. Where that matrix would exceed ``MATRIX_BYTES``, phi stays a table: a step is then a join on the word, one aggregation
+by document and one by word. ``joined`` frames hold a row for each non-zero cell with the word's phi.
 """
 
 from __future__ import annotations
 
 import functools
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicloom.operators.bow import small
+from topicloom.operators.bow import long_bow, packed, small
+from topicloom.plans import kernels
+from topicloom.session import cut
 
 EPS = 1e-12
+#: Bytes up to which phi goes to each Python worker as a matrix.
+MATRIX_BYTES = 512 << 20
 
 
 def columns(prefix: str, topics: int) -> list[str]:
@@ -54,7 +62,44 @@ def arithmetic_phi(vocab: DataFrame, topics: int) -> DataFrame:
 
 
 def with_phi(bow: DataFrame, phi: DataFrame) -> DataFrame:
-    return bow.join(small(phi), "word_id")
+    return (long_bow(bow) if "word_ids" in bow.columns else bow).join(small(phi), "word_id")
+
+
+class Matrix:
+    """phi on the workers, and the passes over documents with it."""
+
+    def __init__(self, phi: DataFrame, topics: int) -> None:
+        got = phi.select("word_id", *columns("p", topics)).toArrow()
+        ids = got["word_id"].to_numpy()
+        phi_ = np.full((topics, int(ids.max(initial=-1)) + 1), np.nan)
+        for k in range(topics):
+            phi_[k, ids] = got[f"p{k}"].to_numpy()
+        self.topics, self.all_words = topics, False
+        self.sent = phi.sparkSession.sparkContext.broadcast(phi_)
+
+    def counts(self, bow: DataFrame, method) -> DataFrame:
+        """n_tw, wide."""
+        task = kernels.pass_task(self.sent, method, True, None, self.all_words)
+        return kernels.added(packed(bow).mapInArrow(task, kernels.schema(self.topics)), self.topics)
+
+    def theta(self, bow: DataFrame, method) -> DataFrame:
+        rows = packed(bow)
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        each = rows.mapInArrow(kernels.theta_task(self.sent, method, False, self.all_words), f"doc_id {kind}, theta array<double>")
+        return each.select("doc_id", *(F.col("theta")[k].alias(f"t{k}") for k in range(self.topics)))
+
+    def likelihood(self, bow: DataFrame, method) -> DataFrame:
+        """One row: ll, n."""
+        task = kernels.pass_task(self.sent, method, False, EPS, self.all_words)
+        rows = packed(bow).mapInArrow(task, kernels.schema(self.topics))
+        of = lambda word: F.sum(F.when(F.col("word_id") == word, F.col("p0")))
+        return rows.agg(of(-1).alias("ll"), of(-2).cast("long").alias("n"))
+
+
+def matrix(phi: DataFrame, topics: int) -> Matrix | None:
+    """phi as a matrix, or None where it is too large for one."""
+    rows = MATRIX_BYTES // (8 * topics)
+    return Matrix(phi, topics) if phi.limit(rows + 1).count() <= rows else None
 
 
 def projection(joined: DataFrame, topics: int) -> DataFrame:
@@ -102,7 +147,20 @@ def m_step(n_tw: DataFrame, vocab: DataFrame, topics: int, floor: str = "counts"
 
 
 def plsa_step(bow: DataFrame, phi: DataFrame, vocab: DataFrame, topics: int, floor: str = "counts") -> DataFrame:
-    return m_step(by_word(e_step(bow, phi, topics), topics), vocab, topics, floor)
+    # Written, since the M-step reads the counts twice.
+    return m_step(cut(expected_by_word(bow, phi, topics), "counts"), vocab, topics, floor)
+
+
+def expected_by_word(bow: DataFrame, phi: DataFrame, topics: int) -> DataFrame:
+    """n_tw of the pLSA step, wide."""
+    m = matrix(phi, topics)
+    return m.counts(bow, kernels.plsa) if m is not None else by_word(e_step(bow, phi, topics), topics)
+
+
+def expected_by_document(bow: DataFrame, phi: DataFrame, topics: int) -> DataFrame:
+    """n_td of the pLSA step, wide."""
+    m = matrix(phi, topics)
+    return m.theta(bow, kernels.plsa_counts) if m is not None else by_document(e_step(bow, phi, topics), topics)
 
 
 def row_normalised(theta: DataFrame, topics: int, guard: str = "floor") -> DataFrame:
@@ -113,10 +171,14 @@ def row_normalised(theta: DataFrame, topics: int, guard: str = "floor") -> DataF
 
 def transform(bow: DataFrame, phi: DataFrame, topics: int, mode: str = "expected", docs: DataFrame | None = None) -> DataFrame:
     """theta, wide: from expected counts ('expected') or the projection; documents of ``docs`` without words get zeros."""
-    joined = with_phi(bow, phi)
-    theta = projection(joined, topics)
-    if mode == "expected":
-        theta = row_normalised(by_document(responsibilities(joined, theta, topics), topics), topics)
+    m = matrix(phi, topics)
+    if m is not None:
+        theta = m.theta(bow, functools.partial(kernels.plsa, theta_mode=mode))
+    else:
+        joined = with_phi(bow, phi)
+        theta = projection(joined, topics)
+        if mode == "expected":
+            theta = row_normalised(by_document(responsibilities(joined, theta, topics), topics), topics)
     if docs is not None:
         theta = docs.select("doc_id").join(theta, "doc_id", "left").na.fill(0.0, columns("t", topics))
     return theta
@@ -131,7 +193,11 @@ def log_likelihood(bow: DataFrame, phi: DataFrame, theta: DataFrame, topics: int
 
 def perplexity(bow: DataFrame, phi: DataFrame, topics: int, mode: str = "expected") -> DataFrame:
     """One row: perplexity; infinite without words."""
-    row = log_likelihood(bow, phi, transform(bow, phi, topics, mode), topics)
+    m = matrix(phi, topics)
+    if m is not None:
+        row = m.likelihood(bow, functools.partial(kernels.plsa, theta_mode=mode))
+    else:
+        row = log_likelihood(bow, phi, transform(bow, phi, topics, mode), topics)
     return row.select(F.when(F.coalesce("n", F.lit(0)) == 0, F.lit(float("inf"))).otherwise(F.exp(-F.col("ll") / F.when(F.col("n") != 0, F.col("n")))).alias("perplexity"))
 
 
@@ -145,7 +211,7 @@ def frobenius(a: DataFrame, b: DataFrame, topics: int) -> DataFrame:
 
 
 def uniform_theta(bow: DataFrame, topics: int) -> DataFrame:
-    return bow.select("doc_id").distinct().select("doc_id", *(F.lit(1.0 / topics).alias(f"t{k}") for k in range(topics)))
+    return (packed(bow) if "word_ids" in bow.columns else bow).select("doc_id").distinct().select("doc_id", *(F.lit(1.0 / topics).alias(f"t{k}") for k in range(topics)))
 
 
 def regularised_theta(bow: DataFrame, phi: DataFrame, topics: int, inner: int, smoothing: float = 0.0) -> DataFrame:
@@ -153,6 +219,9 @@ def regularised_theta(bow: DataFrame, phi: DataFrame, topics: int, inner: int, s
 
     ``smoothing`` a: the gradient a / theta, so that a is added to each expected count.
     """
+    m = matrix(phi, topics)
+    if m is not None:
+        return m.theta(bow, functools.partial(kernels.fixed_updates, updates=inner, more=smoothing))
     joined = with_phi(bow, phi)
     theta = uniform_theta(bow, topics)
     for _ in range(inner):
@@ -163,8 +232,12 @@ def regularised_theta(bow: DataFrame, phi: DataFrame, topics: int, inner: int, s
     return theta
 
 
-def regularised_counts(bow: DataFrame, phi: DataFrame, theta: DataFrame, topics: int) -> DataFrame:
-    return by_word(responsibilities(with_phi(bow, phi), theta, topics, "nonzero"), topics)
+def regularised_counts(bow: DataFrame, phi: DataFrame, topics: int, inner: int, smoothing: float = 0.0) -> DataFrame:
+    """n_tw under ``regularised_theta``."""
+    m = matrix(phi, topics)
+    if m is not None:
+        return m.counts(bow, functools.partial(kernels.fixed_updates, updates=inner, more=smoothing))
+    return by_word(responsibilities(with_phi(bow, phi), regularised_theta(bow, phi, topics, inner, smoothing), topics, "nonzero"), topics)
 
 
 def regularised_phi(n_tw: DataFrame, vocab: DataFrame, topics: int, norm: str = "topic_axis") -> DataFrame:
@@ -183,12 +256,19 @@ def positive_simplex(wide: DataFrame, topics: int, eps: float = EPS) -> DataFram
     return wide.withColumn("__d", _sum(parts)).select("word_id", *(F.when(F.col("__d") > eps, x / F.col("__d")).otherwise(0.0).alias(f"p{k}") for k, x in enumerate(parts)))
 
 
-def offline_step(bow: DataFrame, phi: DataFrame, vocab: DataFrame, topics: int, alpha: float = 0.0, beta: float = 0.0, sparsity: float = 0.0) -> DataFrame:
-    """The simplified offline step: theta from counts times phi plus alpha, counts times theta plus beta, less a share of each topic's mean."""
+def _offline_counts(bow: DataFrame, phi: DataFrame, topics: int, alpha: float) -> DataFrame:
+    m = matrix(phi, topics)
+    if m is not None:
+        return m.counts(bow, functools.partial(kernels.offline, alpha=alpha))
     joined = with_phi(bow, phi)
     sums = joined.groupBy("doc_id").agg(*(F.sum(F.col("n") * F.col(f"p{k}")).alias(f"t{k}") for k in range(topics)))
     theta = row_normalised(sums.select("doc_id", *((F.col(f"t{k}") + alpha).alias(f"t{k}") for k in range(topics))), topics, "nonzero")
-    counts = bow.join(theta, "doc_id").groupBy("word_id").agg(*(F.sum(F.col("n") * F.col(f"t{k}")).alias(f"p{k}") for k in range(topics)))
+    return joined.select("doc_id", "word_id", "n").join(theta, "doc_id").groupBy("word_id").agg(*(F.sum(F.col("n") * F.col(f"t{k}")).alias(f"p{k}") for k in range(topics)))
+
+
+def offline_step(bow: DataFrame, phi: DataFrame, vocab: DataFrame, topics: int, alpha: float = 0.0, beta: float = 0.0, sparsity: float = 0.0) -> DataFrame:
+    """The simplified offline step: theta from counts times phi plus alpha, counts times theta plus beta, less a share of each topic's mean."""
+    counts = cut(_offline_counts(bow, phi, topics, alpha), "counts")
     names = columns("p", topics)
     raw = vocab.select("word_id").join(counts, "word_id", "left").select("word_id", *((F.coalesce(c, F.lit(0.0)) + beta).alias(c) for c in names))
     if sparsity > 0:
@@ -197,27 +277,11 @@ def offline_step(bow: DataFrame, phi: DataFrame, vocab: DataFrame, topics: int,
     return normalised_by_word(raw.select("word_id", *(floor_at(F.col(c)).alias(c) for c in names)), topics)
 
 
-# Dense pLSA: theta is kept between iterations, both are updated from the same responsibilities.
-
-
-def dense_step(bow: DataFrame, phi: DataFrame, theta: DataFrame, topics: int, eps: float = 1e-8) -> tuple[DataFrame, DataFrame]:
-    cells = responsibilities(with_phi(bow, phi), theta, topics, "add", eps)
-    counts = by_document(cells, topics)
-    total = _sum([F.col(f"t{k}") for k in range(topics)]) + eps
-    new_theta = counts.withColumn("__d", total).select("doc_id", *((F.col(f"t{k}") / F.col("__d")).alias(f"t{k}") for k in range(topics)))
-    words = by_word(cells, topics)
-    sums = words.agg(*(F.sum(f"p{k}").alias(f"s{k}") for k in range(topics)))
-    new_phi = words.crossJoin(F.broadcast(sums)).select("word_id", *((F.col(f"p{k}") / (F.col(f"s{k}") + eps)).alias(f"p{k}") for k in range(topics)))  # one row
-    return new_phi, new_theta
-
-
-def dense_log_likelihood(bow: DataFrame, phi: DataFrame, theta: DataFrame, topics: int, eps: float = 1e-8) -> DataFrame:
-    p = _sum([F.col(f"p{k}") * F.col(f"t{k}") for k in range(topics)])
-    return with_phi(bow, phi).join(theta, "doc_id").agg(F.sum(F.col("n") * F.ln(p + eps)).alias("ll"))
-
-
 def fold_in(bow: DataFrame, phi: DataFrame, topics: int, updates: int = 20, eps: float = 1e-8) -> DataFrame:
     """theta of new documents with phi fixed; ``eps`` is added to the counts before dividing."""
+    m = matrix(phi, topics)
+    if m is not None:
+        return m.theta(bow, functools.partial(kernels.fixed_updates, updates=updates, more=eps, eps=eps))
     joined = with_phi(bow, phi)
     theta = uniform_theta(bow, topics)
     for _ in range(updates):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topicloom.functions.text import Step, tokens_simple
+from topicloom.session import cut
 
 
 def tokenised(docs: DataFrame, tokenizer: Step = tokens_simple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -44,7 +45,8 @@ def build_vocabulary(tokenised_: DataFrame, min_df: int = 1, max_df: float = 0.9
     low, high = bounds(tokenised_.count() if n_docs is None else n_docs, min_df, max_df, exempt)
     counted = term_frequency(tokenised_) if freq_mode == "collection" else document_frequency(tokenised_).withColumnRenamed("df", "cf")
     kept = counted.where(F.col("cf") >= low) if high is None else counted.where(F.col("cf").between(low, high))
-    return numbered_by(kept, "token").select(F.col("doc_id").cast("int").alias("word_id"), "token", F.col("cf").alias("frequency"))
+    # Written, since the range exchange samples its rows first: the texts are split once.
+    return numbered_by(cut(kept, "counted"), "token").select(F.col("doc_id").cast("int").alias("word_id"), "token", F.col("cf").alias("frequency"))
 
 
 def ranked(counted: DataFrame) -> DataFrame:

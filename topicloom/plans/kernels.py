@@ -1,7 +1,8 @@
 """EM kernels on Arrow batches of packed documents, and the sums over all of them.
 
-Each task adds its documents into one dense topic-word matrix and hands it on in stripes of words; stripes are
-added up by a shuffle, so the driver receives one matrix, whatever the number of tasks.
+Documents are taken a slice at a time. A task hands on rows of the words that its documents have, never a whole matrix,
+and holds a bounded number of them; rows are added up by a shuffle, so the driver receives one matrix, whatever the
+number of tasks. A method is a function (phi, ends, words, counts, batch) -> (expected counts of the cells, theta).
 """
 
 from __future__ import annotations
@@ -11,14 +12,26 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 EPS = 1e-12
-#: Words of a stripe.
-STRIPE = 1 << 16
+#: Cells of a slice of documents.
+CELLS = 1 << 18
+#: Bytes of word rows that a task holds.
+HELD = 96 << 20
 
 Array = np.ndarray
 
 
+def slices(batch: pa.RecordBatch, lists: str = "word_ids", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of rows whose lists have at most ``limit`` entries together; one row at least."""
+    ends, a = batch.column(lists).offsets.to_numpy().astype(np.int64), 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + (limit or CELLS), "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def documents(batch: pa.RecordBatch) -> tuple[Array, Array, Array]:
     """(first cell of each document and the end, word ids, counts)."""
     words, counts = batch.column("word_ids"), batch.column("counts")
@@ -53,9 +66,9 @@ def plsa_documents(phi: Array, ends: Array, words: Array, counts: Array, theta_m
     return cells, theta
 
 
-def log_likelihood(phi: Array, theta: Array, ends: Array, words: Array, counts: Array) -> tuple[float, int]:
+def log_likelihood(phi: Array, theta: Array, ends: Array, words: Array, counts: Array, least: float = EPS) -> tuple[float, int]:
     p = (phi[:, words] * np.repeat(theta, np.diff(ends), axis=1)).sum(0)
-    return float((counts * np.log(np.maximum(p, EPS))).sum()), int(counts.sum())
+    return float((counts * np.log(np.maximum(p, least) if least >= 0 else p - least)).sum()), int(counts.sum())
 
 
 def inner_theta(
@@ -96,33 +109,158 @@ def inner_theta(
     return cells_of(theta if nwt_theta == "final" else used), theta
 
 
-def stripes(total: Array, ll: float, n: int) -> Iterator[pa.RecordBatch]:
-    """A task's matrix in stripes of words; stripe -1 has the likelihood and the number of words."""
-    rows = [(k, np.ascontiguousarray(total[:, k * STRIPE : (k + 1) * STRIPE]).tobytes()) for k in range(-(-total.shape[1] // STRIPE))]
-    rows.append((-1, np.array([ll, n], float).tobytes()))
-    for k, data in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["stripe", "data"])
+def plsa(phi: Array, ends: Array, words: Array, counts: Array, batch, theta_mode: str = "expected") -> tuple[Array, Array]:
+    return plsa_documents(phi, ends, words, counts, theta_mode)
+
+
+def plsa_counts(phi: Array, ends: Array, words: Array, counts: Array, batch) -> tuple[Array, Array]:
+    """The same cells, and n_td in place of theta."""
+    cells, _ = plsa_documents(phi, ends, words, counts, "projection")
+    return cells, sums_by_document(cells, ends)
+
+
+def _shares(p: Array, theta: Array, ends: Array, counts: Array, eps: float) -> Array:
+    """Expected counts; the denominator is increased by ``eps``, or where that is 0, replaced by 1 where 0."""
+    joint = p * np.repeat(theta, np.diff(ends), axis=1)
+    total = joint.sum(0)
+    return counts * joint / (total + eps if eps else np.where(total == 0, 1.0, total))
+
+
+def fixed_updates(phi: Array, ends: Array, words: Array, counts: Array, batch, updates: int, more: float = 0.0, eps: float = 0.0) -> tuple[Array, Array]:
+    """theta after so many updates from the uniform start, ``more`` added to each expected count; ``eps``: see ``_shares``."""
+    p, theta = phi[:, words], np.full((len(phi), len(ends) - 1), 1 / len(phi))
+    for _ in range(updates):
+        sums = sums_by_document(_shares(p, theta, ends, counts, eps), ends) + more
+        total = sums.sum(0)
+        theta = sums / np.where(total == 0, 1.0, total)
+    return _shares(p, theta, ends, counts, eps), theta
+
+
+def offline(phi: Array, ends: Array, words: Array, counts: Array, batch, alpha: float) -> tuple[Array, Array]:
+    """theta from counts times phi plus ``alpha``; the cells are counts times theta."""
+    u = sums_by_document(counts * phi[:, words], ends) + alpha
+    total = u.sum(0)
+    theta = u / np.where(total == 0, 1.0, total)
+    return counts * np.repeat(theta, np.diff(ends), axis=1), theta
+
+
+def kept_theta(batch: pa.RecordBatch, topics: int) -> Array:
+    return batch.column("theta").flatten().to_numpy().reshape(-1, topics).T
+
+
+def dense(phi: Array, ends: Array, words: Array, counts: Array, batch, eps: float) -> tuple[Array, Array]:
+    """Cells from the theta that comes with the documents, and the theta after it."""
+    cells = _shares(phi[:, words], kept_theta(batch, len(phi)), ends, counts, eps)
+    sums = sums_by_document(cells, ends)
+    return cells, sums / (sums.sum(0) + eps)
+
+
+class WordSums:
+    """Sums by word as rows (word_id, p0 ..); rows go out when too many are held, and a shuffle adds them up."""
+
+    def __init__(self, topics: int) -> None:
+        self.topics, self.limit, self.parts, self.rows = topics, max(1, HELD // (8 * (topics + 1))), [], 0
+
+    def _merge(self) -> None:
+        words, values = np.concatenate([w for w, _ in self.parts]), np.concatenate([x for _, x in self.parts], axis=1)
+        self.parts = []
+        each, at = np.unique(words, return_inverse=True)
+        self.parts, self.rows = [(each, sums_by_word(values, at, len(each)))], len(each)
+
+    def add(self, words: Array, cells: Array) -> Iterator[pa.RecordBatch]:
+        each, at = np.unique(words, return_inverse=True)
+        self.parts.append((each, sums_by_word(cells, at, len(each))))
+        self.rows += len(each)
+        if self.rows > self.limit:
+            self._merge()
+            if self.rows > self.limit // 2:
+                yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            self._merge()
+            ((words, values),) = self.parts
+            self.parts, self.rows = [], 0
+            for a in range(0, len(words), 1 << 16):
+                yield word_rows(words[a : a + (1 << 16)], values[:, a : a + (1 << 16)])
+
+
+def word_rows(words: Array, values: Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), *(pa.array(np.ascontiguousarray(x)) for x in values)], names=["word_id", *(f"p{k}" for k in range(len(values)))])
+
+
+def score_rows(ll: float, n: int, topics: int) -> pa.RecordBatch:
+    """The likelihood and the number of words, as rows of the words -1 and -2."""
+    values = np.zeros((topics, 2))
+    values[0] = ll, n
+    return word_rows(np.array([-1, -2]), values)
+
+
+def schema(topics: int) -> str:
+    return "word_id int, " + ", ".join(f"p{k} double" for k in range(topics))
+
+
+def known(phi: Array, ends: Array, words: Array, counts: Array) -> tuple[Array, Array, Array]:
+    """The cells whose word has a column in phi (others are nan)."""
+    kept = words < phi.shape[1]
+    kept[kept] = ~np.isnan(phi[0, words[kept]])
+    return np.concatenate(([0], np.cumsum(kept)))[ends], words[kept], counts[kept]
+
+
+def pass_task(sent, method, counts_too: bool, least: float | None = EPS, all_words: bool = True):
+    """Word rows of a task's documents (``counts_too``), and score rows unless ``least`` is None.
+
+    ``least``: probabilities are floored there; a negative one is added instead, as -``least``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phi = sent.value
+        sums, ll, n = WordSums(len(phi)), 0.0, 0
+        for batch in batches:
+            for part in slices(batch):
+                d = documents(part) if all_words else known(phi, *documents(part))
+                cells, theta = method(phi, *d, part)
+                if counts_too:
+                    yield from sums.add(d[1], cells)
+                if least is not None:
+                    x, k = log_likelihood(phi, theta, *d, least)
+                    ll, n = ll + x, n + k
+        yield from sums.out()
+        if least is not None:
+            yield score_rows(ll, n, len(phi))
+
+    return run
+
+
+def theta_task(sent, method, keep: bool = False, all_words: bool = True):
+    """(doc_id, theta) of documents, or with ``keep`` their words and counts too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phi = sent.value
+        for batch in batches:
+            for part in slices(batch):
+                d = documents(part) if all_words else known(phi, *documents(part))
+                theta = method(phi, *d, part)[1]
+                held = [(x, part.column(x)) for x in (("doc_id", "word_ids", "counts") if keep else ("doc_id",))]
+                offsets = pa.array(np.arange(theta.shape[1] + 1) * len(phi), pa.int32())
+                held.append(("theta", pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(theta.T).ravel()))))
+                yield pa.RecordBatch.from_arrays([x for _, x in held], names=[k for k, _ in held])
+
+    return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, Array] = {}
-    for batch in batches:
-        for k, data in zip(batch.column("stripe").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            x = np.frombuffer(data)
-            sums[k] = sums[k] + x if k in sums else x
-    for k, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["stripe", "data"])
+def added(rows: DataFrame, topics: int) -> DataFrame:
+    return rows.groupBy("word_id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(topics)))
 
 
-def summed(per_task: DataFrame, topics: int, vocab_size: int) -> tuple[Array, float, int]:
+def summed(rows: DataFrame, topics: int, vocab_size: int) -> tuple[Array, float, int]:
     """(n_tw, log-likelihood, words) over all tasks."""
-    parts = -(-vocab_size // STRIPE) + 1
-    rows = per_task.repartition(parts, "stripe").mapInArrow(_added, "stripe int, data binary").collect()  # one matrix
-    got = {x["stripe"]: np.frombuffer(bytes(x["data"])) for x in rows}
-    total = np.zeros((topics, vocab_size))
-    for k, x in got.items():
-        if k >= 0:
-            width = min(STRIPE, vocab_size - k * STRIPE)
-            total[:, k * STRIPE : k * STRIPE + width] = x.reshape(topics, width)
-    ll, n = got.get(-1, np.zeros(2))
-    return total, float(ll), int(n)
+    got = added(rows, topics).toArrow()
+    ids, total, score = got["word_id"].to_numpy(), np.zeros((topics, vocab_size)), {-1: 0.0, -2: 0.0}
+    real = ids >= 0
+    for k in range(topics):
+        values = got[f"p{k}"].to_numpy()
+        if k == 0:
+            score |= dict(zip(ids[~real].tolist(), values[~real].tolist(), strict=True))
+        total[k, ids[real]] = values[real]
+    return total, score[-1], int(score[-2])

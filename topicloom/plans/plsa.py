@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from topicloom.operators.bow import packed
 from topicloom.plans import kernels
 from topicloom.plans.stopping import EarlyStopping
-from topicloom.session import cut
+from topicloom.session import cut, discard
 
 log = logging.getLogger(__name__)
 
 
 def phi_frame(spark, phi: np.ndarray) -> DataFrame:
     """(topic, word_id, p) of a driver matrix."""
-    topics, words = phi.shape
-    table = pa.table({"topic": pa.array(np.repeat(np.arange(topics), words), pa.int32()), "word_id": pa.array(np.tile(np.arange(words), topics), pa.int32()), "p": pa.array(phi.ravel())})
-    return spark.createDataFrame(table)
+    from topicloom.operators.em import long_form
+
+    wide = {"word_id": pa.array(np.arange(phi.shape[1]), pa.int32())} | {f"p{k}": pa.array(np.ascontiguousarray(x)) for k, x in enumerate(phi)}
+    return long_form(spark.createDataFrame(pa.table(wide)), "word_id", "p", len(phi))
+
+
+def held(bow: DataFrame) -> DataFrame:
+    """Packed documents for many passes: packed ones are read where they are, others are packed once and cached."""
+    return packed(bow) if "word_ids" in bow.columns else packed(bow).persist()
+
+
+def theta_frame(packed_: DataFrame, task) -> DataFrame:
+    return packed_.mapInArrow(task, f"doc_id {packed_.schema['doc_id'].dataType.simpleString()}, theta array<double>")
 
 
 def best_words(phi: np.ndarray, vocab: list[str], top_n: int = 10) -> list[list[str]]:
@@ -38,32 +50,6 @@ def m_step(n_tw: np.ndarray, floor: str = "counts") -> np.ndarray:
     return n_tw / np.maximum(n_tw.sum(1, keepdims=True), kernels.EPS)
 
 
-def _plsa_task(sent, theta_mode: str, counts_too: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phi = sent.value
-        total, ll, n = np.zeros_like(phi) if counts_too else np.zeros((len(phi), 0)), 0.0, 0
-        for batch in batches:
-            ends, words, counts = kernels.documents(batch)
-            cells, theta = kernels.plsa_documents(phi, ends, words, counts, theta_mode)
-            if counts_too:
-                total += kernels.sums_by_word(cells, words, phi.shape[1])
-            x, k = kernels.log_likelihood(phi, theta, ends, words, counts)
-            ll, n = ll + x, n + k
-        yield from kernels.stripes(total, ll, n)
-
-    return run
-
-
-def _theta_task(sent, of_documents):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            theta = of_documents(sent.value, *kernels.documents(batch)).T
-            flat = pa.array(np.ascontiguousarray(theta).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.FixedSizeListArray.from_arrays(flat, theta.shape[1]).cast(pa.list_(pa.float64()))], names=["doc_id", "theta"])
-
-    return run
-
-
 class PLSA:
     """pLSA whose theta starts from the projection of the counts in each iteration.
 
@@ -88,7 +74,8 @@ class PLSA:
     def _pass(self, packed_: DataFrame, counts_too: bool = True) -> tuple[np.ndarray, float, int]:
         sent = packed_.sparkSession.sparkContext.broadcast(self.phi)
         try:
-            return kernels.summed(packed_.mapInArrow(_plsa_task(sent, self.theta_mode, counts_too), "stripe int, data binary"), self.n_topics, self.vocab_size if counts_too else 0)
+            task = kernels.pass_task(sent, functools.partial(kernels.plsa, theta_mode=self.theta_mode), counts_too)
+            return kernels.summed(packed_.mapInArrow(task, kernels.schema(self.n_topics)), self.n_topics, self.vocab_size if counts_too else 0)
         finally:
             sent.destroy()
 
@@ -106,8 +93,8 @@ class PLSA:
         With ``val`` and ``patience``, the best phi is restored when patience runs out (not when epochs do). With ``tol``,
         training also ends when phi moves by less (Frobenius).
         """
-        train_ = packed(train).persist()
-        val_ = packed(val).persist() if val is not None else None
+        train_ = held(train)
+        val_ = held(val) if val is not None else None
         history: dict[str, list[float] | None] = {"train_perplexity": [], "val_perplexity": []}
         rule = EarlyStopping(patience, min_delta) if val is not None and patience is not None else None
         try:
@@ -151,72 +138,76 @@ class PLSA:
     def transform(self, bow: DataFrame, docs: DataFrame | None = None) -> DataFrame:
         """(doc_id, theta); documents of ``docs`` without words get zeros."""
         sent, mode = bow.sparkSession.sparkContext.broadcast(self.phi), self.theta_mode
-        theta = packed(bow).mapInArrow(_theta_task(sent, lambda phi, *d: kernels.plsa_documents(phi, *d, mode)[1]), "doc_id long, theta array<double>")
+        theta = theta_frame(packed(bow), kernels.theta_task(sent, functools.partial(kernels.plsa, theta_mode=mode)))
         return _with_empty(theta, docs, self.n_topics)
 
 
 def _with_empty(theta: DataFrame, docs: DataFrame | None, topics: int) -> DataFrame:
-    from pyspark.sql import functions as F
-
     if docs is None:
         return theta
     return docs.select("doc_id").join(theta, "doc_id", "left").withColumn("theta", F.coalesce("theta", F.array(*[F.lit(0.0)] * topics)))
 
 
 class DensePLSA:
-    """pLSA whose theta is kept between iterations; both matrices are updated from the same responsibilities."""
+    """pLSA whose theta is kept between iterations; both matrices are updated from the same responsibilities.
+
+    theta travels with the packed documents, from one written table to the next, so that no iteration shuffles cells.
+    """
 
-    def __init__(self, n_topics: int, max_iter: int = 100, tol: float = 1e-4, smooth: float = 1e-8, random_state: int | None = None, phi: np.ndarray | None = None, theta: DataFrame | None = None) -> None:
+    def __init__(self, n_topics: int, max_iter: int = 100, tol: float = 1e-4, smooth: float = 1e-8, random_state: int | None = None, phi: np.ndarray | None = None, theta: DataFrame | Column | None = None) -> None:
         self.n_topics, self.max_iter, self.tol, self.eps, self.phi = n_topics, max_iter, tol, smooth, phi
         self.random = np.random.default_rng(random_state)
-        self.theta = theta  # (doc_id, t0 .. t{T-1}) to start from; random if there is none
+        self.theta = theta  # to start from: (doc_id, t0 .. t{T-1}), or an array by doc_id; random if there is none
         self.log_likelihoods: list[float] = []
 
     def fit(self, bow: DataFrame, vocab_size: int) -> DensePLSA:
-        from topicloom.operators import em
-
-        spark, topics = bow.sparkSession, self.n_topics
+        spark, topics, eps = bow.sparkSession, self.n_topics, self.eps
         if self.phi is None:
             self.phi = self.random.dirichlet(np.ones(vocab_size), size=topics)
-        names = em.columns("p", topics)
-        phi = spark.createDataFrame(pa.table({"word_id": pa.array(np.arange(vocab_size), pa.int32())} | {c: pa.array(self.phi[k]) for k, c in enumerate(names)}))
         seed = int(self.random.integers(1 << 31))
-        theta = self.theta if self.theta is not None else em.row_normalised(_seeded_theta(bow, topics, seed), topics)
-        bow = bow.persist()
-        before = -math.inf
+        theta = self.theta if self.theta is not None else row_shares(_seeded_theta(topics, seed))
+        if isinstance(theta, DataFrame):
+            start = theta.select("doc_id", F.array(*(f"t{k}" for k in range(topics))).alias("theta"))
+            state = held(bow).select("doc_id", "word_ids", "counts").join(start, "doc_id")
+        else:
+            state = held(bow).select("doc_id", "word_ids", "counts", theta.alias("theta"))
+        state, before = cut(state, "dense"), -math.inf
         for _ in range(self.max_iter):
-            new_phi, new_theta = em.dense_step(bow, phi, theta, topics, self.eps)
-            phi, theta = cut(new_phi, "phi"), cut(new_theta, "theta")
-            ll = em.dense_log_likelihood(bow, phi, theta, topics, self.eps).first()[0] or 0.0
+            sent = spark.sparkContext.broadcast(self.phi)
+            method = functools.partial(kernels.dense, eps=eps)
+            n_tw, _, _ = kernels.summed(state.mapInArrow(kernels.pass_task(sent, method, True, None), kernels.schema(topics)), topics, vocab_size)
+            old, state = state, cut(state.mapInArrow(kernels.theta_task(sent, method, keep=True), state.schema), "dense")
+            discard(old)
+            sent.destroy()
+            self.phi = n_tw / (n_tw.sum(1, keepdims=True) + eps)
+            sent = spark.sparkContext.broadcast(self.phi)
+            _, ll, _ = kernels.summed(state.mapInArrow(kernels.pass_task(sent, _as_kept, False, -eps), kernels.schema(topics)), topics, 0)
+            sent.destroy()
             self.log_likelihoods.append(ll)
             if abs(ll - before) < self.tol:
                 break
             before = ll
-        self.theta = theta
-        self.phi = np.zeros((topics, vocab_size))
-        for row in phi.toLocalIterator():
-            self.phi[:, row["word_id"]] = [row[c] for c in names]
+        self.theta = state.select("doc_id", *(F.col("theta")[k].alias(f"t{k}") for k in range(topics)))
         return self
 
     def transform(self, bow: DataFrame, max_iter: int = 20) -> DataFrame:
         """(doc_id, theta) with phi fixed."""
-        sent, eps = bow.sparkSession.sparkContext.broadcast(self.phi), self.eps
+        sent = bow.sparkSession.sparkContext.broadcast(self.phi)
+        method = functools.partial(kernels.fixed_updates, updates=max_iter, more=self.eps, eps=self.eps)
+        return theta_frame(packed(bow), kernels.theta_task(sent, method))
+
 
-        def of_documents(phi, ends, words, counts):
-            p, sizes = phi[:, words], np.diff(ends)
-            theta = np.full((len(phi), len(sizes)), 1 / len(phi))
-            for _ in range(max_iter):
-                joint = p * np.repeat(theta, sizes, axis=1)
-                theta = kernels.sums_by_document(counts * joint / (joint.sum(0) + eps), ends) + eps
-                theta = theta / theta.sum(0)
-            return theta
+def _as_kept(phi, ends, words, counts, batch):
+    """No cells, and the theta that comes with the documents."""
+    return None, kernels.kept_theta(batch, len(phi))
 
-        return packed(bow).mapInArrow(_theta_task(sent, of_documents), "doc_id long, theta array<double>")
 
+def row_shares(values: list[Column]) -> Column:
+    """An array of the values divided by their total."""
+    total = functools.reduce(lambda a, b: a + b, values)
+    return F.array(*(x / F.greatest(total, F.lit(kernels.EPS)) for x in values))
 
-def _seeded_theta(bow: DataFrame, topics: int, seed: int) -> DataFrame:
-    """Positive random rows by document: the same for the same seed, however the documents are dealt."""
-    from pyspark.sql import functions as F
 
-    u = lambda k: -F.ln((F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_004.0)
-    return bow.select("doc_id").distinct().select("doc_id", *(u(k).alias(f"t{k}") for k in range(topics)))
+def _seeded_theta(topics: int, seed: int) -> list[Column]:
+    """Positive random values by document: the same for the same seed, however the documents are dealt."""
+    return [-F.ln((F.pmod(F.xxhash64("doc_id", F.lit(seed), F.lit(k)), F.lit(1_000_003)) + 1) / 1_000_004.0) for k in range(topics)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topicloom.operators.bow import check_shape, packed
 from topicloom.plans import kernels
-from topicloom.plans.plsa import _theta_task, best_words
+from topicloom.plans.plsa import best_words, held, theta_frame
 
 Gradient = Callable[[np.ndarray], np.ndarray]
 
@@ -29,18 +30,20 @@ def decorrelation(strength: float) -> Gradient:
 def _task(sent, options: dict, by_batch: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phi = sent.value
-        total, ll, n = np.zeros_like(phi), 0.0, 0
+        sums = kernels.WordSums(len(phi))
         for batch in _whole(batches) if by_batch else batches:
-            ends, words, counts = kernels.documents(batch)
-            cells, theta = kernels.inner_theta(phi, ends, words, counts, **options)
-            total += kernels.sums_by_word(cells, words, phi.shape[1])
-            x, k = kernels.log_likelihood(phi, theta, ends, words, counts)
-            ll, n = ll + x, n + k
-        yield from kernels.stripes(total, ll, n)
+            for part in [batch] if by_batch else kernels.slices(batch):
+                ends, words, counts = kernels.documents(part)
+                yield from sums.add(words, kernels.inner_theta(phi, ends, words, counts, **options)[0])
+        yield from sums.out()
 
     return run
 
 
+def _inner(phi, ends, words, counts, batch, options):
+    return kernels.inner_theta(phi, ends, words, counts, **options)
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by batch_id, regrouped so that each batch comes as one."""
     held, now = [], None
@@ -93,15 +96,14 @@ class RegularisedModel:
         """``bow`` is (doc_id, word_id, n); with ``scope='batch'``, documents are batched by id."""
         check_shape(bow, self.vocab_size)
         by_batch = self.options["scope"] == "batch"
-        rows = packed(bow)
+        rows = held(bow)
         if by_batch:
             if not batch_size or batch_size <= 0:
                 raise ValueError("batch_size must be positive")
-            rows = rows.withColumn("batch_id", F.floor(F.col("doc_id") / batch_size).cast("long")).repartition("batch_id").sortWithinPartitions("batch_id", "doc_id")
-        rows = rows.persist()
+            rows = rows.withColumn("batch_id", F.floor(F.col("doc_id") / batch_size).cast("long")).repartition("batch_id").sortWithinPartitions("batch_id", "doc_id").persist()
         for _ in range(n_iter):
             sent = bow.sparkSession.sparkContext.broadcast(self.phi)
-            n_tw, _, _ = kernels.summed(rows.mapInArrow(_task(sent, self.options, by_batch), "stripe int, data binary"), self.n_topics, self.vocab_size)
+            n_tw, _, _ = kernels.summed(rows.mapInArrow(_task(sent, self.options, by_batch), kernels.schema(self.n_topics)), self.n_topics, self.vocab_size)
             sent.destroy()
             self.phi = self.update_phi(n_tw)
         rows.unpersist()
@@ -110,7 +112,7 @@ class RegularisedModel:
     def transform(self, bow: DataFrame) -> DataFrame:
         """(doc_id, theta) by the inner loop."""
         sent, options = bow.sparkSession.sparkContext.broadcast(self.phi), self.options | {"scope": "document"}
-        return packed(bow).mapInArrow(_theta_task(sent, lambda phi, *d: kernels.inner_theta(phi, *d, **options)[1]), "doc_id long, theta array<double>")
+        return theta_frame(packed(bow), kernels.theta_task(sent, functools.partial(_inner, options=options)))
 
 
 def per_document_model(n_topics: int, vocab_size: int, reg_phi: Gradient | None = None, reg_theta: Gradient | None = None, random_state: int | None = None, theta_convergence_tol: float = 1e-4, max_inner_iter: int = 50, **options) -> RegularisedModel:

@@ -11,12 +11,12 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as X
 from topicloom.operators import batches, bow, em, report, vocab
-from topicloom.plans.plsa import PLSA, DensePLSA, phi_frame
+from topicloom.plans.plsa import PLSA, DensePLSA, phi_frame, row_shares
 from topicloom.plans.regularised import RegularisedModel, decorrelation, smoothing
 from topicloom.session import cut, shared_folder
 from topicloom.sources import corpus
@@ -34,17 +34,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Tokens, vocabulary and bag of words of ``documents``; the last two are cached and used by all EM queries.
+    """Tokens, vocabulary, packed documents and bag of words of ``documents``, used by all EM queries.
 
-    The bag of words is dealt by document, so that the aggregations and joins on it need no further exchange.
+    The documents are packed where they are and written once; the bag of words is that table's long form.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in TABLES:
         tok = vocab.tokenised(documents(spark, sf_dir))
         v = cut(vocab.build_vocabulary(tok, MIN_DF, MAX_DF), "vocab").persist()
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        b = cut(bow.bag_of_words(tok, v), "bow").repartition(parts, "doc_id").persist()
-        TABLES[key] = {"tok": tok, "vocab": v, "bow": b}
+        rows = cut(bow.counted(tok, v), "packed")
+        docs = bow.merged(rows)
+        TABLES[key] = {"tok": tok, "vocab": v, "rows": rows, "docs": docs, "packed": bow.packed(docs), "bow": bow.long_bow(docs)}
     return TABLES[key]
 
 
@@ -56,13 +56,13 @@ def start(x: dict[str, DataFrame]) -> DataFrame:
 
 def after_one(x: dict[str, DataFrame]) -> DataFrame:
     if "phi1" not in x:
-        x["phi1"] = cut(em.plsa_step(x["bow"], start(x), x["vocab"], T), "phi").persist()
+        x["phi1"] = cut(em.plsa_step(x["packed"], start(x), x["vocab"], T), "phi").persist()
     return x["phi1"]
 
 
 def after_two(x: dict[str, DataFrame]) -> DataFrame:
     if "phi2" not in x:
-        x["phi2"] = cut(em.plsa_step(x["bow"], after_one(x), x["vocab"], T), "phi").persist()
+        x["phi2"] = cut(em.plsa_step(x["packed"], after_one(x), x["vocab"], T), "phi").persist()
     return x["phi2"]
 
 
@@ -102,7 +102,8 @@ def batch_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
-    return batches.with_batch(x["bow"], 128).groupBy("batch_id").agg(F.countDistinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("nnz"), F.sum("n").alias("kept_tokens"))
+    rows = batches.with_batch(x["packed"], 128).select("batch_id", F.size("word_ids").alias("cells"), bow.kept_tokens().alias("n"))
+    return rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("cells").alias("nnz"), F.sum("n").alias("kept_tokens"))
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,24 +122,24 @@ def bow_range_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def theta_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
-    return long_theta(em.regularised_theta(x["bow"], start(x), T, 2, 0.1))
+    return long_theta(em.regularised_theta(x["packed"], start(x), T, 2, 0.1))
 
 
 def _fullem(spark: SparkSession, sf_dir: str, norm: str | None) -> DataFrame:
     x = base(spark, sf_dir)
-    counts = em.regularised_counts(x["bow"], start(x), em.regularised_theta(x["bow"], start(x), T, 2), T)
+    counts = em.regularised_counts(x["packed"], start(x), T, 2)
+    counts = counts if norm is None else cut(counts, "counts")
     return long_phi(counts, 6) if norm is None else long_phi(em.regularised_phi(counts, x["vocab"], T, norm), 8)
 
 
-def _dense_start(x: dict[str, DataFrame]) -> DataFrame:
-    raw = x["bow"].select("doc_id").distinct().select("doc_id", *((1 + (F.col("doc_id") * (t + 2) + 3 * t) % 7).cast("double").alias(f"t{t}") for t in range(T)))
-    return em.row_normalised(raw, T)
+def _dense_start() -> Column:
+    return row_shares([(1 + (F.col("doc_id") * (t + 2) + 3 * t) % 7).cast("double") for t in range(T)])
 
 
 def dense_plsa_2iter(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
-    phi, theta = em.dense_step(x["bow"], start(x), _dense_start(x), T)
-    return long_theta(em.dense_step(x["bow"], cut(phi, "phi"), cut(theta, "theta"), T)[1])
+    phi = _matrix(x)
+    return long_theta(DensePLSA(T, max_iter=2, tol=0.0, phi=phi, theta=_dense_start()).fit(x["packed"], phi.shape[1]).theta)
 
 
 #: (patience, min_delta) of the replayed early stopping.
@@ -168,14 +169,14 @@ def plsa_fit_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     phi = _matrix(x)
     val = F.pmod("doc_id", F.lit(10)) == 0
     model = PLSA(T, phi.shape[1], phi=phi)
-    history = corpus.history_frame(spark, model.fit_full(x["bow"].where(~val), 5, x["bow"].where(val), patience=2))
+    history = corpus.history_frame(spark, model.fit_full(x["packed"].where(~val), 5, x["packed"].where(val), patience=2))
     return history.select("iteration", *(F.round(c, 3).alias(c) for c in ("train_perplexity", "val_perplexity")))
 
 
 def fullem_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
     phi = _matrix(x)
-    model = RegularisedModel(T, phi.shape[1], phi=phi).fit(x["bow"], 2)
+    model = RegularisedModel(T, phi.shape[1], phi=phi).fit(x["packed"], 2)
     return report.top_words(phi_frame(spark, model.phi), 10, x["vocab"], 6)
 
 
@@ -187,15 +188,15 @@ def regularised_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """phi after one iteration with both Python hooks: theta smoothed in two inner steps, topics of phi pushed apart."""
     x = base(spark, sf_dir)
     phi = _matrix(x)
-    model = RegularisedModel(T, phi.shape[1], decorrelation(APART), smoothing(SMOOTH), max_inner_iter=2, theta_convergence_tol=0.0, phi=phi, phi_norm="word_axis").fit(x["bow"], 1)
+    model = RegularisedModel(T, phi.shape[1], decorrelation(APART), smoothing(SMOOTH), max_inner_iter=2, theta_convergence_tol=0.0, phi=phi, phi_norm="word_axis").fit(x["packed"], 1)
     return phi_frame(spark, model.phi).withColumn("p", F.round("p", 8))
 
 
 def dense_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two iterations of the dense trainer from arithmetic starts, then five steps of its transform."""
     x = base(spark, sf_dir)
-    model = DensePLSA(T, max_iter=2, phi=_matrix(x), theta=_dense_start(x)).fit(x["bow"], x["vocab"].count())
-    each = model.transform(x["bow"], 5).select("doc_id", F.posexplode("theta").alias("topic", "p"))
+    model = DensePLSA(T, max_iter=2, phi=_matrix(x), theta=_dense_start()).fit(x["packed"], x["vocab"].count())
+    each = model.transform(x["packed"], 5).select("doc_id", F.posexplode("theta").alias("topic", "p"))
     return each.select("topic", "doc_id", F.round("p", 6).alias("p"))
 
 
@@ -203,7 +204,7 @@ def online_fit_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
     phi = _matrix(x)
     model = PLSA(T, phi.shape[1], phi=phi)
-    model.fit_online([x["bow"].where(F.pmod("doc_id", F.lit(2)) == k) for k in range(2)])
+    model.fit_online([x["packed"].where(F.pmod("doc_id", F.lit(2)) == k) for k in range(2)])
     return report.top_words(phi_frame(spark, model.phi), 10, x["vocab"], 6)
 
 
@@ -240,6 +241,13 @@ def shuffle_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.groupBy("position").agg(F.count(F.lit(1)).alias("times"))
 
 
+def oov_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of ``documents``; rows that share an id have their sums."""
+    x = base(spark, sf_dir)
+    found = bow.unknown_of(x["docs"])
+    return found if x["docs"] is x["rows"] else x["rows"].select("doc_id").join(found, "doc_id")
+
+
 def encode_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bow.encoded_at(documents(spark, sf_dir), base(spark, sf_dir)["vocab"], [3, 17])
     return rows.select("doc_id", F.array_join(F.col("word_ids").cast("array<string>"), ",").alias("word_ids"))
@@ -264,7 +272,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = base(spark, sf_dir)
-    joined = x["bow"].join(table(spark, sf_dir, "labels"), "doc_id")
+    joined = x["packed"].select("doc_id", bow.kept_tokens().alias("n")).join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.groupBy("quality", "toxic").agg(F.countDistinct("doc_id").alias("docs"), F.sum("n").alias("kept_tokens"))
 
 
@@ -291,8 +299,8 @@ def _tok(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], D
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    score = lambda x, phi, mode="expected": em.perplexity(x["bow"], phi, T, mode).select(F.round("perplexity", 4).alias("perplexity"))
-    ntd = lambda x: em.by_document(em.e_step(x["bow"], start(x), T), T)
+    score = lambda x, phi, mode="expected": em.perplexity(x["packed"], phi, T, mode).select(F.round("perplexity", 4).alias("perplexity"))
+    ntd = lambda x: em.expected_by_document(x["packed"], start(x), T)
     return {
         "tokens_simple": _tokens(X.tokens_simple),
         "tokens_lower": _tokens(X.tokens_lower),
@@ -309,31 +317,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bow_long": _with_base(lambda x: x["bow"]),
         "bow_range_mask": bow_range_mask,
         "corpus_stats": _with_base(lambda x: bow.corpus_stats(x["tok"], x["vocab"], x["bow"])),
-        "oov_rate": _with_base(lambda x: bow.unknown_rate(x["tok"], x["vocab"])),
-        "empty_docs": _with_base(lambda x: bow.empty_documents(x["tok"], x["bow"])),
+        "oov_rate": oov_rate,
+        "empty_docs": _with_base(lambda x: x["rows"].select("doc_id").join(x["packed"].select("doc_id"), "doc_id", "left_anti")),
         "train_val_split": train_val_split,
         "batch_assign": batch_assign,
         "batch_stats": batch_stats,
         "phi_init": _with_base(lambda x: long_phi(start(x))),
-        "theta_projection": _with_base(lambda x: long_theta(em.projection(em.with_phi(x["bow"], start(x)), T))),
-        "e_step_ntw": _with_base(lambda x: long_phi(em.by_word(em.e_step(x["bow"], start(x), T), T), 6)),
+        "theta_projection": _with_base(lambda x: long_theta(em.transform(x["packed"], start(x), T, "projection"))),
+        "e_step_ntw": _with_base(lambda x: long_phi(em.expected_by_word(x["packed"], start(x), T), 6)),
         "e_step_ntd": _with_base(lambda x: long_theta(ntd(x))),
         "m_step": _with_base(lambda x: long_phi(after_one(x))),
-        "m_step_denominator": _with_base(lambda x: long_phi(em.plsa_step(x["bow"], start(x), x["vocab"], T, "denominator"))),
+        "m_step_denominator": _with_base(lambda x: long_phi(em.plsa_step(x["packed"], start(x), x["vocab"], T, "denominator"))),
         "phi_frobenius": _with_base(lambda x: em.frobenius(start(x), after_one(x), T).select(F.round("diff", 9).alias("diff"))),
         "plsa_1iter_perplexity": _with_base(lambda x: score(x, after_one(x))),
         "plsa_2iter_perplexity": _with_base(lambda x: score(x, after_two(x))),
-        "plsa_transform": _with_base(lambda x: long_theta(em.transform(x["bow"], after_one(x), T, docs=x["tok"]))),
-        "plsa_old_transform": _with_base(lambda x: long_theta(em.transform(x["bow"], after_one(x), T, "projection", x["tok"]))),
+        "plsa_transform": _with_base(lambda x: long_theta(em.transform(x["packed"], after_one(x), T, docs=x["rows"]))),
+        "plsa_old_transform": _with_base(lambda x: long_theta(em.transform(x["packed"], after_one(x), T, "projection", x["rows"]))),
         "top_words": _with_base(lambda x: report.top_words(em.long_form(after_one(x), "word_id", "p", T), 10, x["vocab"], 8)),
-        "legacy_offline_step": _with_base(lambda x: long_phi(em.offline_step(x["bow"], start(x), x["vocab"], T, 0.1, 0.01, 0.1))),
+        "legacy_offline_step": _with_base(lambda x: long_phi(em.offline_step(x["packed"], start(x), x["vocab"], T, 0.1, 0.01, 0.1))),
         "positive_simplex": _with_base(lambda x: long_phi(em.positive_simplex(start(x).select("word_id", *((F.col(c) - 1e-4).alias(c) for c in em.columns("p", T))), T), 6)),
         "fullem_inner2": lambda spark, sf_dir: _fullem(spark, sf_dir, None),
         "fullem_phi_topic_axis": lambda spark, sf_dir: _fullem(spark, sf_dir, "topic_axis"),
         "fullem_phi_word_axis": lambda spark, sf_dir: _fullem(spark, sf_dir, "word_axis"),
         "theta_smoothing": theta_smoothing,
         "dense_plsa_2iter": dense_plsa_2iter,
-        "fold_in_3": _with_base(lambda x: long_theta(em.fold_in(x["bow"], start(x), T, 3))),
+        "fold_in_3": _with_base(lambda x: long_theta(em.fold_in(x["packed"], start(x), T, 3))),
         "early_stopping_replay": early_stopping_replay,
         "plsa_fit_full": plsa_fit_full,
         "fullem_fit": fullem_fit,
