@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from topicloom.functions import text as X
@@ -54,3 +55,23 @@ def test_model_and_python_tokenizers(spark):
 
 def test_stop_word_lists():
     assert len(X.STOPWORDS) == 14 and len(X.STOPWORDS_LONG) == 34
+
+
+def test_python_tokens_of_few_texts_live_at_a_time():
+    """A batch's tokens are not all Python objects at once."""
+    alive = most = 0
+
+    class Token(str):
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    def one(text):
+        nonlocal alive, most
+        alive += 3
+        most = max(most, alive)
+        return [Token(f"{text}{k}") for k in range(3)]
+
+    got = X.token_lists(pa.array([str(k) for k in range(1000)]), one)
+    assert got.to_pylist()[999] == ["9990", "9991", "9992"] and len(got) == 1000 and most <= 100
+    assert X.token_lists(pa.array([], pa.string()), one).to_pylist() == []

@@ -10,6 +10,7 @@ import functools
 from collections.abc import Callable, Iterable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,6 +144,13 @@ def cyrillic_tokenizer(stopwords: Iterable[str] | None = None, min_token_length:
     return tokenize
 
 
+def token_lists(texts: pa.Array, one: Callable[[str | None], Iterable[str]]) -> pa.Array:
+    """``one`` of each text; a few texts' tokens are Python objects at a time, whatever the size of the batch."""
+    kind, few = pa.list_(pa.string()), 16
+    parts = [pa.array([list(one(t.as_py())) for t in texts.slice(a, few)], kind) for a in range(0, len(texts), few)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def model_tokenizer(analyse: Callable[[str], Iterable[tuple[str, str]]], stopwords: Iterable[str] | None = None, min_token_length: int = 2) -> Step:
     """Tokens of a language model: ``analyse`` gives (surface, lemma) pairs; runs in an Arrow UDF.
 
@@ -150,14 +158,14 @@ def model_tokenizer(analyse: Callable[[str], Iterable[tuple[str, str]]], stopwor
     """
     stop = frozenset(stopwords or ())
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def tokenize(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> list[str]:
-            pairs = analyse(text) if text else ()
-            lemmas = (lemma.lower() for surface, lemma in pairs if surface.isalpha() and len(surface) >= min_token_length)
-            return [x for x in lemmas if x not in stop]
+    def one(text: str | None) -> list[str]:
+        pairs = analyse(text) if text else ()
+        lemmas = (lemma.lower() for surface, lemma in pairs if surface.isalpha() and len(surface) >= min_token_length)
+        return [x for x in lemmas if x not in stop]
 
-        return texts.map(one)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def tokenize(texts: pa.Array) -> pa.Array:
+        return token_lists(texts, one)
 
     return lambda text: tokenize(text)
 
@@ -165,8 +173,8 @@ def model_tokenizer(analyse: Callable[[str], Iterable[tuple[str, str]]], stopwor
 def python_tokenizer(tokenize: Callable[[str], list[str]]) -> Step:
     """Any Python tokenizer, as an Arrow UDF."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: list(tokenize(t)) if t is not None else [])
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return token_lists(texts, lambda t: tokenize(t) if t is not None else [])
 
     return lambda text: run(text)
