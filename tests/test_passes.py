@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -89,6 +91,22 @@ def test_a_task_hands_on_rows_of_its_own_words_and_holds_few(monkeypatch):
     assert theta["doc_id"].to_pylist() == list(range(5)) and theta["theta"].to_pylist()[1] == [0, 0]
 
 
+def test_merging_the_held_rows_stays_within_the_bound(monkeypatch):
+    """Half of the rows are of words that no other slice has; before, merging took several times the bound."""
+    monkeypatch.setattr(kernels, "HELD", 24 << 20)
+    sums, cells, total, peak = kernels.WordSums(5), np.ones((5, 20_000)), 0, 0
+    tracemalloc.start()
+    try:
+        for k in range(60):
+            words = np.concatenate((np.arange(10_000), np.arange(10_000) + 10_000 * (k + 1))).astype(np.int32)
+            total += sum(x["p4"].to_numpy().sum() for x in sums.add(words, cells))
+        total += sum(x["p4"].to_numpy().sum() for x in sums.out())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 60 * 20_000 and peak < kernels.HELD
+
+
 def test_trainers_take_packed_documents(packed, words):
     n, long = words.count(), bow.long_bow(packed)
     for make in (lambda b: PLSA(3, n, 5).fit(b, 3, b.where("doc_id < 20"), 2), lambda b: list(RegularisedModel(3, n, random_state=5).fit(b, 2).phi.ravel())):

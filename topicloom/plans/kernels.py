@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 #: Cells of a slice of documents.
 CELLS = 1 << 18
-#: Bytes of word rows that a task holds.
+#: Bytes of word rows that a task holds, with the copies that merging them takes.
 HELD = 96 << 20
+#: Bytes that merging takes at most, for each byte of the rows.
+MERGING = 3
 
 Array = np.ndarray
 
@@ -49,7 +51,10 @@ def sums_by_document(x: Array, ends: Array) -> Array:
 
 
 def sums_by_word(x: Array, words: Array, vocab_size: int) -> Array:
-    return np.stack([np.bincount(words, row, vocab_size) for row in x])
+    out = np.empty((len(x), vocab_size))
+    for k, row in enumerate(x):
+        out[k] = np.bincount(words, row, vocab_size)
+    return out
 
 
 def plsa_documents(phi: Array, ends: Array, words: Array, counts: Array, theta_mode: str = "expected") -> tuple[Array, Array]:
@@ -159,7 +164,7 @@ class WordSums:
     """Sums by word as rows (word_id, p0 ..); rows go out when too many are held, and a shuffle adds them up."""
 
     def __init__(self, topics: int) -> None:
-        self.topics, self.limit, self.parts, self.rows = topics, max(1, HELD // (8 * (topics + 1))), [], 0
+        self.topics, self.limit, self.parts, self.rows = topics, max(1, HELD // (MERGING * 8 * (topics + 1))), [], 0
 
     def _merge(self) -> None:
         words, values = np.concatenate([w for w, _ in self.parts]), np.concatenate([x for _, x in self.parts], axis=1)
