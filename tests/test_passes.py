@@ -152,3 +152,21 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert got == {1: (4, [0, 1], [2, 1]), 2: (1, [1], [1]), 3: (0, [], [])}
     assert rows(bow.bag_of_words(tok, v)) == [(1, 0, 2), (1, 1, 1), (2, 1, 1)]
     assert bow.bag_of_words(tok, v.limit(0)).count() == 0
+
+
+def test_tasks_that_sum_by_word_do_not_grow_with_the_input(packed, words, monkeypatch):
+    """The words' rows that are shuffled: at most a vocabulary a task."""
+    phi, split = em.arithmetic_phi(words, 3).persist(), packed.repartition(40).persist()
+    split.count()
+    monkeypatch.setattr(kernels, "LEAST_TASKS", 3)
+    monkeypatch.setattr(kernels, "TASKS_A_CORE", 0)
+    handed, v = [], words.count()
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "added", lambda x, topics: handed.append(x.count()) or x)
+        em.expected_by_word(split, phi, 3)
+    with monkeypatch.context() as m:
+        m.setattr(kernels, "summed", lambda x, topics, size: handed.append(x.where("word_id >= 0").count()) or (np.ones((topics, size)), 0.0, 1))
+        PLSA(3, v, 5).fit_batch(split)
+        RegularisedModel(3, v, random_state=5).fit(split, 1)
+    assert len(handed) == 3 and max(handed) <= 3 * v
+    assert rows(em.expected_by_word(split, phi, 3)) == rows(em.expected_by_word(packed, phi, 3))

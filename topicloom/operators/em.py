@@ -80,7 +80,7 @@ class Matrix:
     def counts(self, bow: DataFrame, method) -> DataFrame:
         """n_tw, wide."""
         task = kernels.pass_task(self.sent, method, True, None, self.all_words)
-        return kernels.added(packed(bow).mapInArrow(task, kernels.schema(self.topics)), self.topics)
+        return kernels.added(kernels.gathered(packed(bow)).mapInArrow(task, kernels.schema(self.topics)), self.topics)
 
     def theta(self, bow: DataFrame, method) -> DataFrame:
         rows = packed(bow)

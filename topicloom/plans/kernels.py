@@ -21,6 +21,8 @@ CELLS = 1 << 18
 HELD = 96 << 20
 #: Bytes that merging takes at most, for each byte of the rows.
 MERGING = 3
+#: Tasks of a pass that sums by word: so many a core, and at least so many.
+TASKS_A_CORE, LEAST_TASKS = 2, 24
 
 Array = np.ndarray
 
@@ -254,6 +256,12 @@ def theta_task(sent, method, keep: bool = False, all_words: bool = True):
     return run
 
 
+def gathered(rows: DataFrame) -> DataFrame:
+    """``rows`` in a number of tasks that the cores bound, not the input: each task hands on a row for each word it meets,
+    so that more tasks would shuffle the same words more often."""
+    return rows.coalesce(max(LEAST_TASKS, TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def added(rows: DataFrame, topics: int) -> DataFrame:
     return rows.groupBy("word_id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(topics)))
 

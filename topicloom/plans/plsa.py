@@ -75,7 +75,7 @@ class PLSA:
         sent = packed_.sparkSession.sparkContext.broadcast(self.phi)
         try:
             task = kernels.pass_task(sent, functools.partial(kernels.plsa, theta_mode=self.theta_mode), counts_too)
-            return kernels.summed(packed_.mapInArrow(task, kernels.schema(self.n_topics)), self.n_topics, self.vocab_size if counts_too else 0)
+            return kernels.summed((kernels.gathered(packed_) if counts_too else packed_).mapInArrow(task, kernels.schema(self.n_topics)), self.n_topics, self.vocab_size if counts_too else 0)
         finally:
             sent.destroy()
 

@@ -103,7 +103,7 @@ class RegularisedModel:
             rows = rows.withColumn("batch_id", F.floor(F.col("doc_id") / batch_size).cast("long")).repartition("batch_id").sortWithinPartitions("batch_id", "doc_id").persist()
         for _ in range(n_iter):
             sent = bow.sparkSession.sparkContext.broadcast(self.phi)
-            n_tw, _, _ = kernels.summed(rows.mapInArrow(_task(sent, self.options, by_batch), kernels.schema(self.n_topics)), self.n_topics, self.vocab_size)
+            n_tw, _, _ = kernels.summed(kernels.gathered(rows).mapInArrow(_task(sent, self.options, by_batch), kernels.schema(self.n_topics)), self.n_topics, self.vocab_size)
             sent.destroy()
             self.phi = self.update_phi(n_tw)
         rows.unpersist()
