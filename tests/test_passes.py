@@ -170,3 +170,17 @@ def test_tasks_that_sum_by_word_do_not_grow_with_the_input(packed, words, monkey
         RegularisedModel(3, v, random_state=5).fit(split, 1)
     assert len(handed) == 3 and max(handed) <= 3 * v
     assert rows(em.expected_by_word(split, phi, 3)) == rows(em.expected_by_word(packed, phi, 3))
+
+
+def test_dense_training_writes_one_table_an_iteration(packed, words, monkeypatch):
+    """A start given as a column is not written first, and two passes an iteration do."""
+    from topicloom.plans import plsa
+
+    written, passed = [], []
+    cut, summed = plsa.cut, kernels.summed
+    monkeypatch.setattr(plsa, "cut", lambda df, name: written.append(name) or cut(df, name))
+    monkeypatch.setattr(kernels, "summed", lambda *x: passed.append(x[2]) or summed(*x))
+    v = words.count()
+    phi = np.random.default_rng(1).dirichlet(np.ones(v), 2)
+    DensePLSA(2, 2, 0.0, phi=phi, theta=row_shares([F.lit(1.0), F.lit(2.0)])).fit(packed, v)
+    assert len(written) == 2 and passed == [v, v, 0]

@@ -162,6 +162,12 @@ def dense(phi: Array, ends: Array, words: Array, counts: Array, batch, eps: floa
     return cells, sums / (sums.sum(0) + eps)
 
 
+def dense_cells(phi: Array, ends: Array, words: Array, counts: Array, batch, eps: float) -> tuple[Array, Array]:
+    """The same cells, and the theta they come from."""
+    theta = kept_theta(batch, len(phi))
+    return _shares(phi[:, words], theta, ends, counts, eps), theta
+
+
 class WordSums:
     """Sums by word as rows (word_id, p0 ..); rows go out when too many are held, and a shuffle adds them up."""
 

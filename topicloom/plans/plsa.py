@@ -151,7 +151,8 @@ def _with_empty(theta: DataFrame, docs: DataFrame | None, topics: int) -> DataFr
 class DensePLSA:
     """pLSA whose theta is kept between iterations; both matrices are updated from the same responsibilities.
 
-    theta travels with the packed documents, from one written table to the next, so that no iteration shuffles cells.
+    theta travels with the packed documents, from one written table to the next, so that no iteration shuffles cells. A start given as
+    a column is computed where the documents are. The likelihood is taken in the pass that also collects the next expected counts.
     """
 
     def __init__(self, n_topics: int, max_iter: int = 100, tol: float = 1e-4, smooth: float = 1e-8, random_state: int | None = None, phi: np.ndarray | None = None, theta: DataFrame | Column | None = None) -> None:
@@ -166,30 +167,42 @@ class DensePLSA:
             self.phi = self.random.dirichlet(np.ones(vocab_size), size=topics)
         seed = int(self.random.integers(1 << 31))
         theta = self.theta if self.theta is not None else row_shares(_seeded_theta(topics, seed))
+        rows = held(bow)
+        docs = rows.select("doc_id", "word_ids", "counts")
         if isinstance(theta, DataFrame):
             start = theta.select("doc_id", F.array(*(f"t{k}" for k in range(topics))).alias("theta"))
-            state = held(bow).select("doc_id", "word_ids", "counts").join(start, "doc_id")
+            state = cut(docs.join(start, "doc_id"), "dense")
         else:
-            state = held(bow).select("doc_id", "word_ids", "counts", theta.alias("theta"))
-        state, before = cut(state, "dense"), -math.inf
-        for _ in range(self.max_iter):
-            sent = spark.sparkContext.broadcast(self.phi)
+            state = docs.select("doc_id", "word_ids", "counts", theta.alias("theta"))
+        before = -math.inf
+        sent = spark.sparkContext.broadcast(self.phi)
+        n_tw, _ = self._pass(state, sent, vocab_size, scored=False) if self.max_iter else (None, 0.0)
+        for k in range(self.max_iter):
             method = functools.partial(kernels.dense, eps=eps)
-            n_tw, _, _ = kernels.summed(state.mapInArrow(kernels.pass_task(sent, method, True, None), kernels.schema(topics)), topics, vocab_size)
             old, state = state, cut(state.mapInArrow(kernels.theta_task(sent, method, keep=True), state.schema), "dense")
-            discard(old)
+            if hasattr(old, "written_to"):
+                discard(old)
+            if k == 0:
+                rows.unpersist()
             sent.destroy()
             self.phi = n_tw / (n_tw.sum(1, keepdims=True) + eps)
             sent = spark.sparkContext.broadcast(self.phi)
-            _, ll, _ = kernels.summed(state.mapInArrow(kernels.pass_task(sent, _as_kept, False, -eps), kernels.schema(topics)), topics, 0)
-            sent.destroy()
+            n_tw, ll = self._pass(state, sent, vocab_size, counts_too=k + 1 < self.max_iter)
             self.log_likelihoods.append(ll)
             if abs(ll - before) < self.tol:
                 break
             before = ll
+        sent.destroy()
         self.theta = state.select("doc_id", *(F.col("theta")[k].alias(f"t{k}") for k in range(topics)))
         return self
 
+    def _pass(self, state: DataFrame, sent, vocab_size: int, counts_too: bool = True, scored: bool = True) -> tuple[np.ndarray, float]:
+        """(expected counts, log-likelihood) under phi and the theta that comes with the documents."""
+        method = functools.partial(kernels.dense_cells, eps=self.eps) if counts_too else _as_kept
+        task = kernels.pass_task(sent, method, counts_too, -self.eps if scored else None)
+        rows = (kernels.gathered(state) if counts_too else state).mapInArrow(task, kernels.schema(self.n_topics))
+        return kernels.summed(rows, self.n_topics, vocab_size if counts_too else 0)[:2]
+
     def transform(self, bow: DataFrame, max_iter: int = 20) -> DataFrame:
         """(doc_id, theta) with phi fixed."""
         sent = bow.sparkSession.sparkContext.broadcast(self.phi)
