@@ -9,6 +9,7 @@ from topicloom.operators import bow, em, vocab
 from topicloom.plans import kernels
 from topicloom.plans.plsa import PLSA, DensePLSA, row_shares
 from topicloom.plans.regularised import RegularisedModel
+from topicloom.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -184,3 +185,16 @@ def test_dense_training_writes_one_table_an_iteration(packed, words, monkeypatch
     phi = np.random.default_rng(1).dirichlet(np.ones(v), 2)
     DensePLSA(2, 2, 0.0, phi=phi, theta=row_shares([F.lit(1.0), F.lit(2.0)])).fit(packed, v)
     assert len(written) == 2 and passed == [v, v, 0]
+
+
+def test_written_documents_take_few_bytes_a_cell_with_a_large_vocabulary(spark):
+    """As many bytes for ids below 4 million as for small ones; before, more than four a cell."""
+    from pathlib import Path
+
+    ids = [np.sort(np.random.default_rng(d).choice(4_000_000, 300, replace=False)).tolist() for d in range(2000)]
+    batch = pa.table({"doc_id": list(range(2000)), "word_ids": pa.array(ids, pa.list_(pa.int32())), "counts": pa.array([[1] * 300] * 2000, pa.list_(pa.int32()))})
+    docs = spark.createDataFrame(batch).coalesce(1)
+    got = cut(docs, "packed")
+    size = sum(f.stat().st_size for f in Path(got.written_to.removeprefix("file://")).glob("*.parquet"))
+    assert size < 2.5 * 600_000
+    assert {r.doc_id: r.word_ids for r in got.collect()} == dict(enumerate(ids))

@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: How tables are written: integers as differences (word ids ascend in a document), whatever the vocabulary's size; dictionaries
+#: of ids outgrow their page.
+FORMAT = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "compression": "zstd"}
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,7 +51,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**FORMAT).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
