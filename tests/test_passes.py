@@ -73,6 +73,22 @@ def test_documents_are_passed_over_without_a_shuffle_of_cells(packed, words):
     assert exchanges(em.expected_by_word(packed, phi, 3)) == 1  # the tasks' sums by word
 
 
+def test_documents_without_words_are_passed_over_without_a_join(tok, words, monkeypatch):
+    """Before, theta was joined to the documents; a null id has zeros either way."""
+    docs = bow.counted(tok, words).withColumn("doc_id", F.when(F.col("doc_id") != 11, F.col("doc_id"))).persist()
+    phi = em.arithmetic_phi(words, 3).persist()
+    for mode in ("expected", "projection"):
+        got = em.transform(docs, phi, 3, mode, docs)
+        assert exchanges(got) == 0
+        by_id = {r.doc_id: tuple(r)[1:] for r in got.collect()}
+        assert len(by_id) == 60 and by_id[7] == by_id[8] == by_id[None] == (0, 0, 0) and sum(by_id[9]) == pytest.approx(1)
+        joined = rows(em.transform(bow.packed(docs), phi, 3, mode, docs).na.fill(-1, ["doc_id"]))
+        assert rows(got.na.fill(-1, ["doc_id"])) == joined
+        with monkeypatch.context() as m:
+            m.setattr(em, "MATRIX_BYTES", 0)
+            assert rows(em.transform(docs, phi, 3, mode, docs).na.fill(-1, ["doc_id"])) == joined
+
+
 def test_a_task_hands_on_rows_of_its_own_words_and_holds_few(monkeypatch):
     monkeypatch.setattr(kernels, "CELLS", 7)
     monkeypatch.setattr(kernels, "HELD", 8 * 3 * 5)

@@ -82,8 +82,8 @@ class Matrix:
         task = kernels.pass_task(self.sent, method, True, None, self.all_words)
         return kernels.added(kernels.gathered(packed(bow)).mapInArrow(task, kernels.schema(self.topics)), self.topics)
 
-    def theta(self, bow: DataFrame, method) -> DataFrame:
-        rows = packed(bow)
+    def theta(self, bow: DataFrame, method, empty_too: bool = False) -> DataFrame:
+        rows = bow if empty_too else packed(bow)
         kind = rows.schema["doc_id"].dataType.simpleString()
         each = rows.mapInArrow(kernels.theta_task(self.sent, method, False, self.all_words), f"doc_id {kind}, theta array<double>")
         return each.select("doc_id", *(F.col("theta")[k].alias(f"t{k}") for k in range(self.topics)))
@@ -170,8 +170,15 @@ def row_normalised(theta: DataFrame, topics: int, guard: str = "floor") -> DataF
 
 
 def transform(bow: DataFrame, phi: DataFrame, topics: int, mode: str = "expected", docs: DataFrame | None = None) -> DataFrame:
-    """theta, wide: from expected counts ('expected') or the projection; documents of ``docs`` without words get zeros."""
+    """theta, wide: from expected counts ('expected') or the projection; documents of ``docs`` without words get zeros.
+
+    Where ``docs`` is ``bow`` itself (packed), its rows without words are passed over too, and nothing is joined.
+    """
     m = matrix(phi, topics)
+    if m is not None and docs is bow and "word_ids" in bow.columns:
+        theta = m.theta(bow, functools.partial(kernels.plsa, theta_mode=mode), True)
+        # A null id has zeros, as it would not be found by a join.
+        return theta.select("doc_id", *(F.when(F.col("doc_id").isNotNull(), F.col(c)).otherwise(0.0).alias(c) for c in columns("t", topics)))
     if m is not None:
         theta = m.theta(bow, functools.partial(kernels.plsa, theta_mode=mode))
     else:

@@ -331,8 +331,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "phi_frobenius": _with_base(lambda x: em.frobenius(start(x), after_one(x), T).select(F.round("diff", 9).alias("diff"))),
         "plsa_1iter_perplexity": _with_base(lambda x: score(x, after_one(x))),
         "plsa_2iter_perplexity": _with_base(lambda x: score(x, after_two(x))),
-        "plsa_transform": _with_base(lambda x: long_theta(em.transform(x["packed"], after_one(x), T, docs=x["rows"]))),
-        "plsa_old_transform": _with_base(lambda x: long_theta(em.transform(x["packed"], after_one(x), T, "projection", x["rows"]))),
+        "plsa_transform": _with_base(lambda x: long_theta(em.transform(x["docs"], after_one(x), T, docs=x["rows"]))),
+        "plsa_old_transform": _with_base(lambda x: long_theta(em.transform(x["docs"], after_one(x), T, "projection", x["rows"]))),
         "top_words": _with_base(lambda x: report.top_words(em.long_form(after_one(x), "word_id", "p", T), 10, x["vocab"], 8)),
         "legacy_offline_step": _with_base(lambda x: long_phi(em.offline_step(x["packed"], start(x), x["vocab"], T, 0.1, 0.01, 0.1))),
         "positive_simplex": _with_base(lambda x: long_phi(em.positive_simplex(start(x).select("word_id", *((F.col(c) - 1e-4).alias(c) for c in em.columns("p", T))), T), 6)),
