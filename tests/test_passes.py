@@ -73,6 +73,19 @@ def test_documents_are_passed_over_without_a_shuffle_of_cells(packed, words):
     assert exchanges(em.expected_by_word(packed, phi, 3)) == 1  # the tasks' sums by word
 
 
+def test_an_m_step_joins_nothing(packed, words):
+    """The vocabulary's words are added up with the tasks' rows; before, a join shuffled the counts a second time."""
+    phi = em.arithmetic_phi(words, 3).persist()
+    more = words.select((F.col("word_id") + 1000).alias("word_id")).limit(2)
+    listed = words.select("word_id").where("word_id > 2").unionByName(more).persist()
+    for floor in ("counts", "denominator"):
+        got = em.plsa_step(packed, phi, listed, 3, floor)
+        plan = str(got._jdf.queryExecution().executedPlan())
+        assert "JoinExec" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+        want = em.m_step(em.expected_by_word(packed, phi, 3), listed, 3, floor)
+        assert rows(got) == rows(want) and got.count() == listed.count()
+
+
 def test_documents_without_words_are_passed_over_without_a_join(tok, words, monkeypatch):
     """Before, theta was joined to the documents; a null id has zeros either way."""
     docs = bow.counted(tok, words).withColumn("doc_id", F.when(F.col("doc_id") != 11, F.col("doc_id"))).persist()

@@ -77,10 +77,11 @@ class Matrix:
         self.topics, self.all_words = topics, False
         self.sent = phi.sparkSession.sparkContext.broadcast(phi_)
 
-    def counts(self, bow: DataFrame, method) -> DataFrame:
-        """n_tw, wide."""
+    def counts(self, bow: DataFrame, method, vocab: DataFrame | None = None) -> DataFrame:
+        """n_tw, wide; with ``vocab``, of its words, zeros where they have no counts: they join the tasks' rows in the same sums."""
         task = kernels.pass_task(self.sent, method, True, None, self.all_words)
-        return kernels.added(kernels.gathered(packed(bow)).mapInArrow(task, kernels.schema(self.topics)), self.topics)
+        rows = kernels.gathered(packed(bow)).mapInArrow(task, kernels.schema(self.topics))
+        return kernels.added(rows, self.topics) if vocab is None else kernels.added_for(vocab, rows, self.topics)
 
     def theta(self, bow: DataFrame, method, empty_too: bool = False) -> DataFrame:
         rows = bow if empty_too else packed(bow)
@@ -139,7 +140,11 @@ def e_step(bow: DataFrame, phi: DataFrame, topics: int) -> DataFrame:
 
 def m_step(n_tw: DataFrame, vocab: DataFrame, topics: int, floor: str = "counts") -> DataFrame:
     """phi from expected counts; ``floor``: counts are floored before dividing ('counts') or only their total ('denominator')."""
-    full = vocab.select("word_id").join(n_tw, "word_id", "left")
+    return phi_of(vocab.select("word_id").join(n_tw, "word_id", "left"), topics, floor)
+
+
+def phi_of(full: DataFrame, topics: int, floor: str = "counts") -> DataFrame:
+    """``m_step`` of counts that have a row for each word of the vocabulary."""
     names = columns("p", topics)
     raw = full.select("word_id", *((floor_at(F.coalesce(c, F.lit(0.0))) if floor == "counts" else F.coalesce(c, F.lit(0.0))).alias(c) for c in names))
     totals = raw.agg(*(F.sum(c).alias(f"s_{c}") for c in names))
@@ -148,7 +153,10 @@ def m_step(n_tw: DataFrame, vocab: DataFrame, topics: int, floor: str = "counts"
 
 def plsa_step(bow: DataFrame, phi: DataFrame, vocab: DataFrame, topics: int, floor: str = "counts") -> DataFrame:
     # Written, since the M-step reads the counts twice.
-    return m_step(cut(expected_by_word(bow, phi, topics), "counts"), vocab, topics, floor)
+    m = matrix(phi, topics)
+    if m is not None:
+        return phi_of(cut(m.counts(bow, kernels.plsa, vocab), "counts"), topics, floor)
+    return m_step(cut(by_word(e_step(bow, phi, topics), topics), "counts"), vocab, topics, floor)
 
 
 def expected_by_word(bow: DataFrame, phi: DataFrame, topics: int) -> DataFrame:

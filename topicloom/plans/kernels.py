@@ -272,6 +272,14 @@ def added(rows: DataFrame, topics: int) -> DataFrame:
     return rows.groupBy("word_id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(topics)))
 
 
+def added_for(vocab: DataFrame, rows: DataFrame, topics: int) -> DataFrame:
+    """Sums by word of the vocabulary's words, whether they have rows or not."""
+    asked = vocab.select("word_id", *(F.lit(0.0).alias(f"p{k}") for k in range(topics)), F.lit(True).alias("asked"))
+    both = rows.withColumn("asked", F.lit(False)).unionByName(asked)
+    sums = both.groupBy("word_id").agg(*(F.sum(f"p{k}").alias(f"p{k}") for k in range(topics)), F.max("asked").alias("asked"))
+    return sums.where("asked").drop("asked")
+
+
 def summed(rows: DataFrame, topics: int, vocab_size: int) -> tuple[Array, float, int]:
     """(n_tw, log-likelihood, words) over all tasks."""
     got = added(rows, topics).toArrow()
